@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataseek.llm import splitting, terms
+from strataseek.llm import secrets, splitting, terms
 from strataseek.operators.dedup import one_per_key
 from strataseek.runtime import table
 
@@ -24,6 +24,14 @@ def p2_term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.score_terms(collection(spark, sf_dir))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_lines(table(spark, sf_dir, "chunks"))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.redacted(table(spark, sf_dir, "chunks"))
+
+
 def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "chunks"), splitting.limits_of(table(spark, sf_dir, "size_limits")))
 
@@ -35,6 +43,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_term_weights": p2_term_weights,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
 }

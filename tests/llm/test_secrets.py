@@ -1,0 +1,96 @@
+import base64
+from urllib.parse import quote
+
+import pytest
+
+from strataseek.llm import secrets as S
+
+PASS = "pivorn" + "-Haquaje-7757"
+TOKEN = "ghp_" + "A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6Q7r8"
+
+
+def kinds(text, ext="py"):
+    return [k for _, _, k in S.find_secrets(text, ext)]
+
+
+@pytest.mark.parametrize(
+    "text, ext",
+    [
+        (f'password = "{PASS}"', "py"),
+        (f"  auth_token: {PASS}", "yaml"),
+        (f"export DB_PASSWORD={PASS}", "sh"),
+        (f"const apiKey: string = '{PASS}';", "ts"),
+        (f'pw := "{PASS}"', "go"),
+        (f"x = '{TOKEN}'", "py"),
+        ("redis://asset:Lojwo9BrLGb@total.corp.example/i", "md"),
+        ("# curl -u batch:7pTo7opfwyCtjW2U https://w.example/v1", "py"),
+        (f"Das Passwort für den Testserver lautet {PASS}", "md"),
+        ("测试库密码：obnJ11mHq9", "md"),
+        ("-----BEGIN RSA PRIVATE KEY-----\n" + "A1b2" * 16 + "\n-----END RSA PRIVATE KEY-----", "pem"),
+    ],
+)
+def test_found(text, ext):
+    assert len(kinds(text, ext)) == 1
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'password = ""', 'password = "********"', 'api_key = os.environ["API_KEY"]', 'token = config.get("token")', 'password = getpass("password: ")', "client_secret = \"${CLIENT_SECRET}\"",
+        "postgres://USER:PASSWORD@host.example/db", "passphrase: ask in the weekly review", "-----BEGIN PUBLIC KEY-----\nAAAA", "# commit 268358f5842304c8e05259599fbe5e4c8dea23b4", "tokens = parse(line1)",
+        "api_key: <your-api-key>", 'token = "xxxxxxxxxxxxxxxx"', "The password is changed every quarter, ask the owner.", "const apiKey = 'YOUR_API_KEY_HERE';", "# sk-toggle", "-----BEGIN PRIVATE KEY----- is the header to look for", "",
+    ],
+)
+def test_not_found(text):
+    assert kinds(text, "md") == []
+
+
+def layers(text):
+    yield base64.b64encode(text.encode()).decode()
+    yield text.encode().hex()
+    yield "".join(f"%{b:02X}" for b in text.encode())
+    yield "".join(f"\\x{b:02x}" for b in text.encode())
+    yield "".join(f"\\u{ord(c):04x}" for c in text)
+
+
+def test_encoded_layers_and_redaction():
+    inner = f'{{"password": "{PASS}"}}'
+    for one in layers(inner):
+        for two in [one, base64.b64encode(one.encode()).decode(), quote(one, safe="")]:
+            text = f"cfg = load('{two}')\r\nnext = 1\n"
+            spans = S.find_secrets(text, "py")
+            assert len(spans) == 1, two
+            clean = S.redact(text, spans)
+            assert clean == f"cfg = load('{S.MASK}')\r\nnext = 1\n"
+            assert S.find_secrets(clean, "py") == []
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def test_key_containers():
+    number = lambda n: der(2, b"\x01" * n)
+    rsa = der(0x30, der(2, b"\0"), *(number(64) for _ in range(8)))
+    pkcs8 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48")), der(4, rsa))
+    ec = der(0x30, der(2, b"\1"), der(4, b"k" * 32))
+    public = der(0x30, der(0x30, der(6, b"\x2a\x86\x48"), der(5)), der(3, b"\0" + rsa))
+    assert all(S.is_key_container(k) for k in (rsa, pkcs8, ec, b"openssh-key-v1\0rest"))
+    assert not S.is_key_container(public) and not S.is_key_container(b"") and not S.is_key_container(rsa[:50])
+    assert kinds(f"blob = '{base64.b64encode(pkcs8).decode()}'") == ["private_key"]
+    assert kinds(f"blob = '{base64.b64encode(public).decode()}'") == []
+
+
+def test_scan_chunks(spark):
+    body = "A1b2" * 16
+    text = f"a\r\nb\rKEY = '''-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----'''\npassword = \"{PASS}\"\n"
+    rows = [(1, "x/.env", text, 0), (1, "x/.env", text, 0), (2, None, None, 1), (3, "a.py", "", 1), (4, None, "plain " * 50_000, 1), (None, "b.py", f'pw = "{PASS}"', 2)]
+    df = spark.createDataFrame(rows, "id long, rel_path string, content string, line_no int")
+    found = S.secret_lines(df).collect()
+    assert {tuple(r) for r in found} == {(1, 3), (1, 6), (None, 1)}
+    clean = {r.chunk_id: (r.content, r.n_secrets) for r in S.redacted(df).collect()}
+    assert clean[1] == (f"a\r\nb\rKEY = '''{S.MASK}\n\n'''\npassword = \"{S.MASK}\"\n", 2)
+    assert S.scan_chunks(df.where("id = 9")).count() == 0
