@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataseek.llm import secrets, splitting, terms
+from strataseek.llm import markup, secrets, splitting, terms
 from strataseek.operators.dedup import one_per_key
 from strataseek.runtime import table
 
@@ -24,6 +24,14 @@ def p2_term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.score_terms(collection(spark, sf_dir))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.markup_kinds(table(spark, sf_dir, "chunks"))
+
+
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_chunks(table(spark, sf_dir, "chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_lines(table(spark, sf_dir, "chunks"))
 
@@ -43,6 +51,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_term_weights": p2_term_weights,
+    "p3_found": p3_found,
+    "p3_clean": p3_clean,
     "p6_found": p6_found,
     "p6_redacted": p6_redacted,
     "p7_found": p7_found,
