@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataseek.llm import markup, secrets, splitting, terms
+from strataseek.llm import markup, quality, secrets, splitting, terms
 from strataseek.operators.dedup import one_per_key
 from strataseek.runtime import table
 
@@ -48,6 +48,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_pieces(spark, sf_dir).where("n_pieces > 1").select("chunk_id").distinct()
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_quality(spark, sf_dir).where("NOT is_prose").select("doc_id").distinct()
+
+
+def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"), quality.word_lists(table(spark, sf_dir, "common_words")))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_term_weights": p2_term_weights,
@@ -57,6 +65,8 @@ QUERIES = {
     "p6_redacted": p6_redacted,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
+    "p10_found": p10_found,
+    "p10_quality": p10_quality,
 }
 
 ORACLES = {
