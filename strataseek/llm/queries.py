@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataseek.llm import markup, quality, secrets, splitting, terms
+from strataseek.llm import handwritten, markup, quality, secrets, splitting, terms
 from strataseek.operators.dedup import one_per_key
 from strataseek.runtime import table
 
@@ -32,6 +32,14 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_chunks(table(spark, sf_dir, "chunks"))
 
 
+def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.label_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_labels(spark, sf_dir).where("label <> 'handwritten'").select("file_id").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_lines(table(spark, sf_dir, "chunks"))
 
@@ -61,6 +69,8 @@ QUERIES = {
     "p2_term_weights": p2_term_weights,
     "p3_found": p3_found,
     "p3_clean": p3_clean,
+    "p4_found": p4_found,
+    "p4_labels": p4_labels,
     "p6_found": p6_found,
     "p6_redacted": p6_redacted,
     "p7_found": p7_found,

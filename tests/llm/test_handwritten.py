@@ -1,0 +1,61 @@
+import math
+import random
+from itertools import product
+
+from strataseek.llm import handwritten as H
+
+GEN = "\n".join(f"export interface Mark{i} {{ readonly tag: {i}; }}" for i in range(9))
+HAND = 'import os\nfrom .scope import query\n\ndef total(a, b=None):\n    for x in sorted(a, key=len):\n        b.append(x ** 2)\n    return b\n'
+MIN = "!function(a,b){" + "function c(d){return d&&d.e?f:null}for(;g<h;g++)i.push(g);" * 20 + "}();"
+BLOB = "\n".join(f"INSERT INTO graph VALUES ({30000 + i * 77}, 'a{i}b', {26.779 + i}, 0);" for i in range(12))
+FILES = "id long, project_id string, rel_path string, label string"
+CHUNKS = "id long, file_id long, rel_path string, content string, dir string"
+
+
+def labels(spark, rows):
+    files = spark.createDataFrame([(i, p, path, "x") for i, p, path, _ in rows], FILES)
+    chunks = spark.createDataFrame([(i * 10, i, path, text, "x") for i, _, path, text in rows if text is not None], CHUNKS)
+    return {r.file_id: r.label for r in H.label_files(files, chunks).collect()}
+
+
+def test_kinds(spark):
+    rows = [
+        (1, "p", "src/a.py", HAND), (2, "p", "src/b.ts", "// Code generated by schemac 1.0. DO NOT EDIT.\n" + GEN), (3, "p", "src/gen/c.ts", GEN), (4, "p", "src\\d.js", MIN), (5, "p", "web/yarn.lock", None), (6, "p", "static/x.min.js", None),
+        (7, "p", "vendor/orbitry/e.py", "# orbitry v1.2.3 | (c) The Orbitry Authors | released under the Plainleaf license\n" + HAND), (8, "p", "src/f.sql", BLOB), (9, "p", "src/g.js", 'module.exports = "' + "aB3" * 400 + '"'),
+        (10, "p", "src/generator.go", "// the tool writes a 'DO NOT EDIT' banner on top of each output file\n" + HAND), (11, "p", "src/vendors/h.py", "# list of vendors that may send invoices\n" + HAND), (12, "p", "src/i.py", "# Copyright 2025 the team-x team. Internal use.\n" + HAND),
+        (13, "p", "README.md", "generated by x, do not edit"), (14, "p", "data/rows.csv", None), (15, "p", "id_ed25519", None), (16, None, None, None), (17, "p", "cfg/app.yaml", "a: 1\nb: 2\nc: 3\nd: 4\ne: 5\nf: 6\n"), (18, "p", "Src/J.PY", HAND), (18, "p", "Src/J.PY", HAND), (19, "q", "k.py", ""),
+    ]
+    got = labels(spark, rows)
+    want = {1: "handwritten", 2: "generated", 3: "generated", 4: "minified", 5: "generated", 6: "minified", 7: "vendored", 8: "blob", 9: "blob", 10: "handwritten", 11: "handwritten", 12: "handwritten", 17: "handwritten", 18: "handwritten", 19: "handwritten"}
+    assert got == want
+    assert labels(spark, [(None, None, None, None)]) == {}
+
+
+def test_siblings_decide_files_without_content(spark):
+    lib = [(i, "p", f"static/grid/part{i}.js", "// upstream release 1.2.3, see the upstream repository\n" + HAND) for i in range(1, 9)]
+    own = [(i, "p", f"src/app/mod{i}.py", HAND) for i in range(20, 25)]
+    got = labels(spark, [*lib, (50, "p", "static/grid/extra.js", None), *own, (51, "p", "src/app/extra.py", None)])
+    assert got[50] == "vendored" and got[51] == "handwritten"
+
+
+def test_propagation_is_exact(spark):
+    r = random.Random(2)
+    paths = ["", "a", "a", "a/b", "a/b/c", "d"]
+    files = [(i, "p", d, True, *[r.uniform(-2, 3) for _ in H.LABELS]) for i, d in enumerate(paths)]
+    schema = "file_id long, project_id string, dir string, eligible boolean, " + ", ".join(f"w_{x} double" for x in H.LABELS)
+    got = {x.file_id: [x[f"b_{y}"] for y in H.LABELS] for x in H.propagate(spark.createDataFrame(files, schema)).collect()}
+    dirs = ["", "a", "a/b", "a/b/c", "d"]
+    parent = {"a": "", "a/b": "a", "a/b/c": "a/b", "d": ""}
+    tie = lambda x, y, t: math.exp(t) if x == y else 1.0
+    want = {i: [0.0] * 5 for i in range(len(files))}
+    for ls in product(range(5), repeat=len(dirs)):
+        lab = dict(zip(dirs, ls, strict=True))
+        w = math.prod(math.exp(H.DIR_PRIOR) if x == 0 else 1.0 for x in ls) * math.prod(tie(lab[c], lab[p], H.DIR_TIE) for c, p in parent.items())
+        sums = [[math.exp(f[4 + x]) * tie(x, lab[f[2]], H.FILE_TIE) for x in range(5)] for f in files]
+        total = math.prod(map(sum, sums)) * w
+        for i, s in enumerate(sums):
+            for x in range(5):
+                want[i][x] += total * s[x] / sum(s)
+    for i, b in got.items():
+        p = [math.exp(v) for v in b]
+        assert all(math.isclose(x / sum(p), y / sum(want[i]), rel_tol=1e-6) for x, y in zip(p, want[i], strict=True))
