@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataseek.llm import handwritten, markup, quality, secrets, splitting, terms
+from strataseek.llm import handwritten, markup, mixing, packing, quality, secrets, splitting, terms
 from strataseek.operators.dedup import one_per_key
 from strataseek.runtime import table
 
@@ -56,6 +56,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_pieces(spark, sf_dir).where("n_pieces > 1").select("chunk_id").distinct()
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "size_limits"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(p8_containers(spark, sf_dir), table(spark, sf_dir, "size_limits"))
+
+
+def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_quality(spark, sf_dir).where("NOT is_prose").select("doc_id").distinct()
 
@@ -75,6 +91,10 @@ QUERIES = {
     "p6_redacted": p6_redacted,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
+    "p8_containers": p8_containers,
+    "p8_report": p8_report,
+    "p9_uses": p9_uses,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_quality": p10_quality,
 }
