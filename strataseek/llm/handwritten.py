@@ -104,12 +104,17 @@ def file_evidence(files: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def _message(tie: float, cols: list[Column]) -> list[Column]:
-    """Sum-product message through a Potts potential: log(sum_x e^x + (e^tie - 1) e^own), kept finite and centred."""
-    top = F.greatest(*cols)
-    total = sum((F.exp(c - top) for c in cols[1:]), F.exp(cols[0] - top))
-    raw = [F.log(total + (math.exp(tie) - 1) * F.exp(c - top)) for c in cols]
-    return [r - raw[0] for r in raw]
+def _with_messages(df: DataFrame, tie: float, cols: list[str], out: list[str]) -> DataFrame:
+    """Adds sum-product messages through a Potts potential: log(sum_x e^x + (e^tie - 1) e^own), relative to the first.
+
+    In steps of plain columns, so that no step repeats the expressions of the one before.
+    """
+    df = df.withColumn("__top", F.greatest(*cols))
+    df = df.withColumns({f"__e{i}": F.exp(F.col(c) - F.col("__top")) for i, c in enumerate(cols)})
+    df = df.withColumn("__sum", sum((F.col(f"__e{i}") for i in range(1, len(cols))), F.col("__e0")))
+    df = df.withColumns({f"__l{i}": F.log(F.col("__sum") + (math.exp(tie) - 1) * F.col(f"__e{i}")) for i in range(len(cols))})
+    df = df.withColumns({o: F.col(f"__l{i}") - F.col("__l0") for i, o in enumerate(out)})
+    return df.drop("__top", "__sum", *(f"__{x}{i}" for x in "el" for i in range(len(cols))))
 
 
 def _directory_evidence(name: Column) -> list[Column]:
@@ -132,8 +137,9 @@ def propagate(evidence: DataFrame) -> DataFrame:
     deepest = e.agg(F.max("depth")).first()[0]
     if deepest is None:
         return e.select(*evidence.columns, *(F.lit(0.0).alias(f"b_{x}") for x in LABELS))
-    leaf = e.select(*key, "depth", F.lit(1).cast("long").alias("n_files"), *(m.alias(c) for c, m in zip(_COLS, _message(FILE_TIE, [F.col(c) for c in _COLS]), strict=True)))
+    leaf = _with_messages(e.select(*key, "depth", F.lit(1).cast("long").alias("n_files"), *_COLS), FILE_TIE, _COLS, _COLS)
     leaf = materialise(leaf.groupBy(*key, "depth").agg(F.sum("n_files").alias("n_files"), *(F.sum(c).alias(c) for c in _COLS)))
+    sent_cols, rest_cols, down_cols = ([f"{p}_{x}" for x in LABELS] for p in ("m", "r", "d"))
     up: dict[int, DataFrame] = {}
     for d in range(deepest, -1, -1):
         below = leaf.where(F.col("depth") == d).select(*key, "n_files", *_COLS)
@@ -144,25 +150,25 @@ def propagate(evidence: DataFrame) -> DataFrame:
         node = below.groupBy(*key).agg(F.sum("n_files").alias("n_files"), *(F.sum(c).alias(c) for c in _COLS))
         name = F.regexp_extract("dir", r"([^/]*)$", 1)
         node = node.select(*key, "n_files", *((F.col(c) + x).alias(c) for c, x in zip(_COLS, _directory_evidence(name), strict=True)))
-        node = node.select("*", *(m.alias(f"m_{x}") for x, m in zip(LABELS, _message(DIR_TIE, [F.col(c) for c in _COLS]), strict=True)))
-        up[d] = materialise(node)
+        up[d] = materialise(_with_messages(node, DIR_TIE, _COLS, sent_cols))
     beliefs = up[0].select(*key, "n_files", *_COLS)
     done = [beliefs]
     for d in range(1, deepest + 1):
         parent = F.when(F.instr("dir", "/") > 0, F.regexp_extract("dir", r"^(.*)/[^/]*$", 1)).otherwise("")
         above = beliefs.select("project_id", F.col("dir").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in _COLS))
         rows = up[d].withColumn("parent", parent).join(above, ["project_id", "parent"])
-        rest = [F.col(f"p_w_{x}") - F.col(f"m_{x}") for x in LABELS]
-        beliefs = materialise(rows.select(*key, "n_files", *((F.col(c) + m).alias(c) for c, m in zip(_COLS, _message(DIR_TIE, rest), strict=True))))
+        rows = rows.withColumns({r: F.col(f"p_{c}") - F.col(m) for r, c, m in zip(rest_cols, _COLS, sent_cols, strict=True)})
+        rows = _with_messages(rows, DIR_TIE, rest_cols, down_cols)
+        beliefs = materialise(rows.select(*key, "n_files", *((F.col(c) + F.col(m)).alias(c) for c, m in zip(_COLS, down_cols, strict=True))))
         done.append(beliefs)
     dirs = done[0]
     for b in done[1:]:
         dirs = dirs.unionByName(b)
     dirs = materialise(dirs.select(*key, "n_files", *(F.col(c).alias(f"p_{c}") for c in _COLS)))
-    joined = join_facts(e.drop("depth"), dirs, key, "n_files", e.count())
-    rest = [F.col(f"p_{c}") - m for c, m in zip(_COLS, _message(FILE_TIE, [F.col(c) for c in _COLS]), strict=True)]
-    down = _message(FILE_TIE, rest)
-    return joined.select(*evidence.columns, *((F.col(c) + m).alias(f"b_{x}") for x, c, m in zip(LABELS, _COLS, down, strict=True)))
+    joined = _with_messages(join_facts(e.drop("depth"), dirs, key, "n_files", e.count()), FILE_TIE, _COLS, sent_cols)
+    joined = joined.withColumns({r: F.col(f"p_{c}") - F.col(m) for r, c, m in zip(rest_cols, _COLS, sent_cols, strict=True)})
+    joined = _with_messages(joined, FILE_TIE, rest_cols, down_cols)
+    return joined.select(*evidence.columns, *((F.col(c) + F.col(m)).alias(f"b_{x}") for x, c, m in zip(LABELS, _COLS, down_cols, strict=True)))
 
 
 def label_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -174,9 +180,8 @@ def label_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     code; repeated rows count once (of different rows of an id the greatest);
     other columns are ignored; no files give no rows.
     """
-    b = propagate(file_evidence(files, chunks)).where("eligible")
-    cols = [F.col(f"b_{x}") for x in LABELS]
-    top = F.greatest(*cols)
-    total = sum((F.exp(c - top) for c in cols[1:]), F.exp(cols[0] - top))
-    label = F.coalesce(*(F.when(c == top, x) for x, c in zip(LABELS, cols, strict=True)))
-    return b.select("file_id", label.alias("label"), F.round(F.exp(cols[0] - top) / total, 6).alias("p_handwritten"))
+    b = propagate(file_evidence(files, chunks)).where("eligible").select("file_id", *(f"b_{x}" for x in LABELS))
+    b = b.withColumn("__top", F.greatest(*(f"b_{x}" for x in LABELS)))
+    label = F.coalesce(*(F.when(F.col(f"b_{x}") == F.col("__top"), x) for x in LABELS))
+    total = sum((F.exp(F.col(f"b_{x}") - F.col("__top")) for x in LABELS[1:]), F.exp(F.col(f"b_{LABELS[0]}") - F.col("__top")))
+    return b.select("file_id", label.alias("label"), F.round(F.exp(F.col(f"b_{LABELS[0]}") - F.col("__top")) / total, 6).alias("p_handwritten"))
