@@ -52,3 +52,54 @@ def json_strings(c: Column) -> Column:
     items = F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
     texts = F.filter(items, lambda v: F.schema_of_variant(v) == "STRING")
     return F.coalesce(F.transform(texts, lambda v: F.variant_get(v, "$", "string")), F.array().cast("array<string>"))
+
+
+def _accent_map() -> tuple[str, str]:
+    """Precomposed Latin letters and their bases, from the Unicode decompositions to one base letter."""
+    import unicodedata
+
+    pairs = []
+    for start, end in ((0x00C0, 0x0250), (0x1E00, 0x1F00)):
+        for cp in range(start, end):
+            d = unicodedata.normalize("NFD", chr(cp))
+            if len(d) > 1 and d[0].isascii() and all(unicodedata.combining(c) for c in d[1:]):
+                pairs.append((chr(cp), d[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTS, _BASES = _accent_map()
+
+
+def fold(c: Column) -> Column:
+    """Lower case without Latin diacritics, inside code generation."""
+    return F.translate(F.lower(c), _ACCENTS, _BASES)
+
+
+def fold_text(s: str) -> str:
+    """``fold`` for a Python string."""
+    return s.lower().translate(str.maketrans(_ACCENTS, _BASES))
+
+
+def terms(c: Column) -> Column:
+    """Terms of the full-text index: folded runs of letters and numbers; null gives an empty array."""
+    return F.coalesce(F.regexp_extract_all(fold(c), F.lit(r"[\p{L}\p{N}]+"), 0), F.array().cast("array<string>"))
+
+
+def snippet(c: Column, start: Column, before: int = 48, width: int = 256) -> Column:
+    """``width`` characters beginning ``before`` characters ahead of the 1-based ``start``."""
+    return F.substr(c, F.greatest(start - before, F.lit(1)), F.lit(width))
+
+
+def window(c: Column, offset: Column | int, length: Column | int) -> Column:
+    """Characters [offset, offset + length) with offset from 0."""
+    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.substr(c, as_col(offset) + 1, as_col(length))
+
+
+#: Sentence enders of Latin and CJK text, line ends, and a dot that does not stand between digits.
+CLAIM_END = r"[!?;。！？；\r\n]+|(?<![0-9])\.|\.(?![0-9])"
+
+
+def claims(c: Column) -> Column:
+    """Claims of a text: trimmed, not empty, in order."""
+    return F.filter(F.transform(F.split(c, CLAIM_END), strip), lambda x: x != "")
