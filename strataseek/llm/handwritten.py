@@ -132,14 +132,16 @@ def propagate(evidence: DataFrame) -> DataFrame:
     of passes is the depth of the deepest path. A directory that holds a large
     part of all files meets its files by broadcast.
     """
-    e = materialise(evidence.withColumn("depth", F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))))
+    # Filters are pushed through projections by repeating their expressions, so each message is written before it is used.
+    sent_cols, rest_cols, down_cols = ([f"{p}_{x}" for x in LABELS] for p in ("m", "r", "d"))
+    e = evidence.withColumn("depth", F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/"))))
+    e = materialise(_with_messages(e, FILE_TIE, _COLS, sent_cols))
     key = ["project_id", "dir"]
     deepest = e.agg(F.max("depth")).first()[0]
     if deepest is None:
         return e.select(*evidence.columns, *(F.lit(0.0).alias(f"b_{x}") for x in LABELS))
-    leaf = _with_messages(e.select(*key, "depth", F.lit(1).cast("long").alias("n_files"), *_COLS), FILE_TIE, _COLS, _COLS)
+    leaf = e.select(*key, "depth", F.lit(1).cast("long").alias("n_files"), *(F.col(m).alias(c) for c, m in zip(_COLS, sent_cols, strict=True)))
     leaf = materialise(leaf.groupBy(*key, "depth").agg(F.sum("n_files").alias("n_files"), *(F.sum(c).alias(c) for c in _COLS)))
-    sent_cols, rest_cols, down_cols = ([f"{p}_{x}" for x in LABELS] for p in ("m", "r", "d"))
     up: dict[int, DataFrame] = {}
     for d in range(deepest, -1, -1):
         below = leaf.where(F.col("depth") == d).select(*key, "n_files", *_COLS)
@@ -165,10 +167,10 @@ def propagate(evidence: DataFrame) -> DataFrame:
     for b in done[1:]:
         dirs = dirs.unionByName(b)
     dirs = materialise(dirs.select(*key, "n_files", *(F.col(c).alias(f"p_{c}") for c in _COLS)))
-    joined = _with_messages(join_facts(e.drop("depth"), dirs, key, "n_files", e.count()), FILE_TIE, _COLS, sent_cols)
+    joined = join_facts(e.drop("depth"), dirs, key, "n_files", e.count())
     joined = joined.withColumns({r: F.col(f"p_{c}") - F.col(m) for r, c, m in zip(rest_cols, _COLS, sent_cols, strict=True)})
     joined = _with_messages(joined, FILE_TIE, rest_cols, down_cols)
-    return joined.select(*evidence.columns, *((F.col(c) + F.col(m)).alias(f"b_{x}") for x, c, m in zip(LABELS, _COLS, down_cols, strict=True)))
+    return materialise(joined.select(*evidence.columns, *((F.col(c) + F.col(m)).alias(f"b_{x}") for x, c, m in zip(LABELS, _COLS, down_cols, strict=True))))
 
 
 def label_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -184,4 +186,4 @@ def label_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     b = b.withColumn("__top", F.greatest(*(f"b_{x}" for x in LABELS)))
     label = F.coalesce(*(F.when(F.col(f"b_{x}") == F.col("__top"), x) for x in LABELS))
     total = sum((F.exp(F.col(f"b_{x}") - F.col("__top")) for x in LABELS[1:]), F.exp(F.col(f"b_{LABELS[0]}") - F.col("__top")))
-    return b.select("file_id", label.alias("label"), F.round(F.exp(F.col(f"b_{LABELS[0]}") - F.col("__top")) / total, 6).alias("p_handwritten"))
+    return materialise(b.select("file_id", label.alias("label"), F.round(F.exp(F.col(f"b_{LABELS[0]}") - F.col("__top")) / total, 6).alias("p_handwritten")))
