@@ -1,0 +1,190 @@
+import json
+import shutil
+from pathlib import Path
+
+import pytest
+
+from strataseek import cursors
+from strataseek.api import KnowledgeBase
+from strataseek.cli import call, parse
+from strataseek.errors import GenerationConflict, InvalidCursor, NotFound, NotPublished, OperationConflict, WriterBusy
+from strataseek.operators.chunking import chunk_table, line_chunks, lossless_chunks
+from strataseek.sources import files
+from strataseek.store import Store
+
+
+@pytest.fixture(scope="module")
+def kb(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("kb")
+    src = root / "src"
+    (src / "docs").mkdir(parents=True)
+    (src / "node_modules").mkdir()
+    (src / "README.md").write_text("# Atlas\nThe lexical index keeps every résumé of the snapshot reader.\n")
+    (src / "docs" / "a b+c.txt").write_text("stale summary of the parser\r\nsecond line\r")
+    (src / "docs" / "book.ipynb").write_text(json.dumps({"cells": [{"cell_type": "markdown", "source": ["# T\n", "x"]}, {"cell_type": "raw", "source": "no"}, {"cell_type": "code", "source": "import os"}]}))
+    (src / "id_ed25519").write_text("PASSWORD=1")
+    (src / "node_modules" / "x.js").write_text("1")
+    (src / "bin.py").write_bytes(b"a\0b")
+    (src / "moved.py").write_text("def moved(): pass\n")
+    k = KnowledgeBase(spark, str(root / "store"))
+    assert k.init()["status"] == "initialized" and k.init()["status"] == "already_initialized"
+    k.register_root("r1", "atlas", str(src), "Atlas One")
+    k.first = k.refresh("r2", "atlas")
+    k.src = src
+    return k
+
+
+def test_scan(spark, kb):
+    rows = {r.rel_path: r for r in files.scan(spark, str(kb.src)).collect()}
+    assert set(rows) == {"README.md", "docs/a b+c.txt", "docs/book.ipynb", "id_ed25519", "bin.py", "moved.py"}
+    assert rows["id_ed25519"].reason == "sensitive_path" and rows["README.md"].kind == "priority"
+    read = {r.rel_path: r for r in files.read(spark, str(kb.src)).collect()}
+    assert read["docs/book.ipynb"].text == "# T\nx\n\nimport os" and read["bin.py"].reason == "binary" and read["id_ed25519"].raw is None
+
+
+def test_refresh_search_and_readback(kb):
+    assert kb.first["status"] == "refreshed" and kb.first["n_evidence"] == 4
+    page = kb.search_page("lexical résumé")
+    (hit,) = page["items"]
+    text = kb.evidence(hit["id"], hit["snippet_start"], len(hit["snippet"]))
+    assert text["content"] == hit["snippet"] and text["next_offset"] is None
+    assert kb.search("nothingatall")["status"] == "no_match" and kb.search("x y", mode="vector")["status"] == "unavailable"
+    assert [r["kind"] for r in kb.retrieve("stale.summary")["results"]] == ["evidence"]
+    assert kb.verify()["status"] == "ok" and kb.stats()["tables"]["versions"] == 6
+    assert kb.resolve_legacy(kb.first["generation_id"], "README.md#0")["status"] == "resolved"
+    assert kb.answer("unknownterm")["status"] == "needs_evidence"
+    assert [c["status"] for c in kb.audit_claims("The lexical index works. Zzz unknown!")["claims"]] == ["supported_candidate", "needs_evidence"]
+    assert kb.resume_pack("lexical parser")["projects"][0]["project_id"] == "atlas"
+
+
+def test_operations_replay_and_conflict(kb):
+    again = kb.refresh("r2", "atlas")
+    assert again["replayed"] and again["generation_id"] == kb.first["generation_id"]
+    with pytest.raises(OperationConflict):
+        kb.refresh("r2", "other")
+    with pytest.raises(GenerationConflict):
+        kb.refresh("r9", "atlas", expected_parent="g0")
+    with pytest.raises(NotFound):
+        kb.refresh("r10", "nowhere")
+    with pytest.raises(NotPublished):
+        kb.search_page("lexical", generation_id="gX")
+
+
+def test_versions_rename_tombstone_restore(kb):
+    before = kb.store.generation()["id"]
+    (kb.src / "README.md").write_text("# Atlas\nThe ranked backend follows the snapshot reader.\n")
+    shutil.move(kb.src / "moved.py", kb.src / "docs" / "moved.py")
+    (kb.src / "docs" / "a b+c.txt").unlink()
+    second = kb.refresh("r3", "atlas")
+    assert second["actions"] == {"new_version": 1, "renamed": 1, "renamed_away": 1, "tombstone": 1}
+    assert kb.search("stale summary")["status"] == "no_match" and kb.search_page("stale summary", generation_id=before)["items"] and kb.search_page("stale summary", include_history=True)["items"]
+    (kb.src / "docs" / "a b+c.txt").write_text("stale summary is back")
+    assert kb.refresh("r4", "atlas")["actions"] == {"restored": 1}
+    assert kb.search("stale summary")["status"] == "ok"
+    assert kb.refresh("r5", "atlas")["actions"] == {}
+
+
+def test_summaries_and_pages(kb):
+    ev = kb.search("ranked backend")["results"][0]["id"]
+    ids = [kb.save_summary(f"s{i}", "project", "Atlas", "note", f"ranked note number {i}", [f"kb://evidence/{ev}"], family="f", supersedes_id=None if i else None)["summary_id"] for i in range(3)]
+    assert ids == [1, 2, 3]
+    kb.save_summary("s9", "project", "atlas", "note", "ranked note replaced", supersedes_id=1)
+    with pytest.raises(NotFound):
+        kb.save_summary("s10", "project", "atlas", "note", "x", ["kb://evidence/none"])
+    everything = kb.search_page("ranked note", limit=50)["items"]
+    assert [x["kind"] for x in everything] == ["summary"] * 3 + ["evidence"] and "1" not in [x["id"] for x in everything]
+    walked, cursor = [], None
+    while True:
+        p = kb.search_page("ranked note", limit=1, cursor=cursor)
+        walked += p["items"]
+        cursor = p["next_cursor"]
+        if cursor is None:
+            break
+    assert walked == everything
+    first = kb.summaries("project", "atlas", limit=2)
+    rest = kb.summaries("project", "atlas", limit=2, cursor=first["next_cursor"])
+    assert [x["summary_id"] for x in first["items"] + rest["items"]] == [1, 2, 3, 4]
+    assert [x["summary_id"] for x in kb.summaries(latest_only=True)["items"]] == [4]
+    assert kb.summary(2, 7, 4)["content"] == "note" and kb.project("atlas")["n_current_summaries"] == 3
+    with pytest.raises(InvalidCursor):
+        kb.summaries("project", "other", cursor=first["next_cursor"])
+    assert kb.resource("kb://summary/2")["summary_id"] == 2
+
+
+def test_relations(kb):
+    assert kb.build_relations("e1")["n_edges"] >= 3
+    got = kb.related("atlas", depth=2)
+    assert {"md", "py"} <= {r["target_id"] for r in got["relations"]} and kb.search("ranked", mode="hybrid")["relations"]
+
+
+def test_stream(spark, kb, tmp_path):
+    from strataseek.streaming.ingest import ingest
+
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([("feed", "n1.md", "streamed quartz note"), ("feed", "n1.md", "streamed quartz note"), ("feed", "e.md", "")], "project_id string, rel_path string, text string").write.mode("append").parquet(str(tmp_path / "in"))
+    docs = lambda: spark.readStream.schema("project_id string, rel_path string, text string").parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        ingest(docs(), kb.store, "feed", str(tmp_path / "cp")).awaitTermination()
+    assert len(kb.search("quartz")["results"]) == 1
+    shutil.rmtree(tmp_path / "cp")
+    n = kb.stats()["tables"]["occurrences"]
+    ingest(docs(), kb.store, "feed", str(tmp_path / "cp")).awaitTermination()  # lost checkpoint: the same batches replay
+    assert kb.stats()["tables"]["occurrences"] == n
+
+
+def test_lock(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path))
+    monkeypatch.setattr("strataseek.store.LOCK_SECONDS", 0.1)
+    with pytest.raises(NotPublished):
+        s.manifest()
+    with s.locked(), pytest.raises(WriterBusy), s.locked():
+        pass
+    assert not (Path(tmp_path) / "writer.lock").exists()
+
+
+def test_cursors_and_budget():
+    key, scope = b"k" * 32, {"a": 1}
+    last = (1, -0.1 - 0.2, "é", 5)
+    c = cursors.sign(key, scope, last)
+    assert cursors.read(key, scope, c) == last
+    for bad in (c[:-1] + ("A" if c[-1] != "A" else "B"), c + "A", "x.y", "", None, "a" * 5000):
+        with pytest.raises(InvalidCursor):
+            cursors.read(key, scope, bad)
+    with pytest.raises(InvalidCursor):
+        cursors.read(key, {"a": 2}, c)
+    rows = [{"id": i, "t": "é" * 3000} for i in range(20)]
+    p = cursors.pack_page(rows, 20, {}, lambda x: str(x["id"]))
+    assert p["items"] == rows[:5] and p["truncated"] and p["next_cursor"] == "4"
+    p = cursors.pack_page([{"id": 1, "t": "é" * 90_000}], 1, {}, lambda x: "", clip="t")
+    assert p["items"][0]["clipped"] and len(cursors.canonical(p)) <= cursors.PAYLOAD_BYTES
+
+
+def test_cli(kb):
+    assert call(kb, "search", '{"query": "ranked", "top_k": true}')["errorcode"] == "invalid_request"
+    assert call(kb, "project", '{"project_id": "nope"}')["errorcode"] == "not_found"
+    assert call(kb, "nonsense")["errorcode"] == "invalid_request" and call(kb, "stats", '{"x": 1}')["errorcode"] == "invalid_request"
+    assert call(kb, "search", '{"query": "the of"}')["errorcode"] == "invalid_query"
+    assert call(kb, "list_projects")["projects"][0]["project_id"] == "atlas"
+    for bad in ('{"a": 1, "a": 2}', '{"a": NaN}', "[]"):
+        with pytest.raises(ValueError):
+            parse(bad)
+
+
+def test_chunkers(spark):
+    text = "a\r\nb\rc\n" * 100 + "x" * 25_000 + "\nend"
+    got = lossless_chunks(text)
+    assert "".join(c for c, *_ in got) == text and all(len(c) <= 10_000 for c, *_ in got)
+    assert [g[1:3] for g in got[:2]] == [(1, 180), (181, 301)] and got[-1][2] == 302
+    assert lossless_chunks("") == [] and line_chunks("\n\n") == [] and line_chunks(" a \nb\n") == [("a \nb", 1, 2)]
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "one")], "id long, text string")
+    rows = chunk_table(df, "id", "text").orderBy("id", "ordinal").collect()
+    assert "".join(r.content for r in rows if r.id == 1) == text and {r.id for r in rows} == {1, 4}
+
+
+def test_gb18030(spark):
+    raw = spark.createDataFrame([(bytearray("数据".encode("gb18030")),), (bytearray("é".encode()),), (bytearray(b"a\0"),)], "raw binary")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        assert [r.t for r in raw.select(files.decode_gb18030(raw.raw).alias("t")).collect()] == ["数据", "é", None]
+    finally:
+        spark.conf.unset("spark.sql.legacy.javaCharsets")
