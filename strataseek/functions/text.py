@@ -72,7 +72,8 @@ _ACCENTS, _BASES = _accent_map()
 
 def fold(c: Column) -> Column:
     """Lower case without Latin diacritics, inside code generation."""
-    return F.translate(F.lower(c), _ACCENTS, _BASES)
+    low = F.lower(c)
+    return F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(low, _ACCENTS, _BASES)).otherwise(low)
 
 
 def fold_text(s: str) -> str:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataseek.functions.text import fold_text, terms
+from strataseek.functions.text import fold, fold_text, terms
 
 K1, B = 1.2, 0.75
 #: A term in more than half of the documents still counts this much.
@@ -40,13 +40,15 @@ def query_phrases(query: str, stop_words: frozenset[str] = STOP_WORDS) -> list[l
     return phrases
 
 
-def phrase_count(tokens: Column, phrase: list[str]) -> Column:
-    """How often a phrase stands in an array of tokens."""
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    # every term between blanks of its own; the look-ahead also counts places that overlap
-    spaced = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
-    return F.regexp_count(spaced, F.lit("(?= " + "  ".join(phrase) + " )"))
+_L, _NOT, _END = r"(?<![\p{L}\p{N}])", r"[^\p{L}\p{N}]+", r"(?![\p{L}\p{N}])"
+
+
+def phrase_count(folded: Column, phrase: list[str]) -> Column:
+    """How often a phrase stands in a folded text; places may overlap."""
+    words = [re.escape(w) for w in phrase]
+    if len(words) == 1:
+        return F.regexp_count(folded, F.lit(_L + words[0] + _END))
+    return F.regexp_count(folded, F.lit(_L + words[0] + "(?=" + _NOT + _NOT.join(words[1:]) + _END + ")"))
 
 
 def bm25(docs: DataFrame, text: str, phrases: list[list[str]]) -> DataFrame:
@@ -58,8 +60,8 @@ def bm25(docs: DataFrame, text: str, phrases: list[list[str]]) -> DataFrame:
     documents without terms. A phrase that is repeated in the query counts
     again. Columns ``__*`` are dropped, all others kept.
     """
-    toks = docs.withColumn("__t", terms(F.col(text)))
-    counted = toks.withColumn("__dl", F.size("__t").cast("double")).withColumns({f"__f{i}": phrase_count(F.col("__t"), p).cast("double") for i, p in enumerate(phrases)}).drop("__t")
+    folded = docs.withColumn("__t", fold(F.coalesce(F.col(text), F.lit(""))))
+    counted = folded.withColumn("__dl", F.regexp_count("__t", F.lit(r"[\p{L}\p{N}]+")).cast("double")).withColumns({f"__f{i}": phrase_count(F.col("__t"), p).cast("double") for i, p in enumerate(phrases)}).drop("__t")
     k = range(len(phrases))
     stats = counted.agg(F.count("*").cast("double").alias("__n"), F.avg("__dl").alias("__avg"), *(F.sum((F.col(f"__f{i}") > 0).cast("double")).alias(f"__d{i}") for i in k))
     hits = counted.where(reduce(lambda a, b: a | b, (F.col(f"__f{i}") > 0 for i in k)))
@@ -84,8 +86,6 @@ def page(df: DataFrame, keys: list[str], limit: int, after: tuple | None = None)
 
 def first_match(text: Column, phrases: list[list[str]]) -> Column:
     """1-based place of the first phrase in a text, by its folded form (1 if it only matches across marks)."""
-    from strataseek.functions.text import fold
-
     rx = "|".join(r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(map(re.escape, p)) + r"(?![\p{L}\p{N}])" for p in phrases)
     return F.greatest(F.lit(1), F.regexp_instr(fold(text), F.lit(rx)))
 

@@ -12,8 +12,9 @@ from strataseek.operators import graph as G
 from strataseek.operators import ranking as R
 from strataseek.operators import versioning as V
 from strataseek.operators.dedup import one_per_key
+from strataseek.plans.search import _docs
 from strataseek.plans.versions import _edges
-from strataseek.runtime import materialise, table
+from strataseek.runtime import materialise, spread, table
 
 
 def slugify_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +97,7 @@ def audit_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     holds, and only terms in common meet.
     """
     claims = materialise(_claims(spark, sf_dir))
-    chunks = one_per_key(table(spark, sf_dir, "chunks").select("id", "content"), "id")
+    chunks = one_per_key(spread(table(spark, sf_dir, "chunks").select("id", "content"), "id"), "id")
     toks = chunks.select("id", T.terms(F.col("content")).alias("t")).withColumn("dl", F.size("t").cast("double"))
     asked = claims.select("concept_id", "ordinal", F.explode("terms").alias("term"))
     wanted = asked.select("term").distinct()
@@ -121,14 +122,14 @@ def resume_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lower(F.concat_ws(" ", "name", "technologies", "domains", "readme_path"))
     fit = p.select(F.col("id").alias("source"), sum((text.contains(w).cast("int") for w in words[1:]), text.contains(words[0]).cast("int")).alias("fit"))
     top = fit.orderBy(F.desc("fit"), "source").limit(10)
-    hits = R.bm25(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", R.query_phrases(" ".join(words))).select("doc_id", "source", F.round("score", 6).alias("score"))
+    hits = R.bm25(_docs(spark, sf_dir), "text", R.query_phrases(" ".join(words))).select("doc_id", "source", F.round("score", 6).alias("score"))
     mine = hits.join(F.broadcast(top), "source")
     return mine.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("score", "doc_id"))).where("rank <= 6").select("source", "fit", "rank", "doc_id", "score")
 
 
 def hybrid_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations of the projects of the eight best hits, eight each."""
-    hits = R.page(R.bm25(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", R.query_phrases("lexical index")).withColumn("score", F.round("score", 6)), ["score", "doc_id"], 8)
+    hits = R.page(R.bm25(_docs(spark, sf_dir), "text", R.query_phrases("lexical index")).withColumn("score", F.round("score", 6)), ["score", "doc_id"], 8)
     near = hits.where("source IS NOT NULL").select(F.col("source").alias("source_id")).distinct()
     return G.top_edges(_edges(spark, sf_dir), 8).join(F.broadcast(near), "source_id")
 

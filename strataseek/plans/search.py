@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from strataseek.functions import text as T
 from strataseek.operators import ranking as R
 from strataseek.operators.dedup import one_per_key
-from strataseek.runtime import table
+from strataseek.runtime import spread, table
 
 QUERY = "evidence claim résumé"
 PHRASE_QUERY = "stale.summary notebook"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
 
 
 def _ranked(spark: SparkSession, sf_dir: str, query: str = QUERY) -> DataFrame:
@@ -54,7 +54,7 @@ def summary_then_evidence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries always come before evidence, whatever their scores; each domain has its own statistics."""
     phrases = R.query_phrases("refresh job")
     s = one_per_key(table(spark, sf_dir, "summaries").select("id", "content"), "id")
-    c = one_per_key(table(spark, sf_dir, "chunks").select("id", "content"), "id")
+    c = one_per_key(spread(table(spark, sf_dir, "chunks").select("id", "content"), "id"), "id")
     one = lambda df, domain: R.bm25(df, "content", phrases).select(F.lit(domain).alias("domain"), F.col("id").alias("source_id"), F.round("score", 6).alias("score"), F.lit(-domain).alias("x")).drop("x")
     both = one(s, 0).unionByName(one(c, 1))
     return R.page(both, ["domain", "score", "source_id"], 100)

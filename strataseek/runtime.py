@@ -27,6 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Input per core up to which a table of few files is spread before costly work on its rows.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores where it is a small table in few files; a large or well divided one as it is.
+
+    Only for work that costs much more than a shuffle of the rows.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    small = int(plan.stats().sizeInBytes().toString()) < n * SPREAD_BYTES
+    return df.repartition(n, key) if small and df._jdf.rdd().getNumPartitions() * 2 <= n else df
+
+
 def _delete_on_exit(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
