@@ -38,7 +38,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     n = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().optimizedPlan()
-    small = int(plan.stats().sizeInBytes().toString()) < n * SPREAD_BYTES
+    small = int(str(plan.stats().sizeInBytes())) < n * SPREAD_BYTES
     return df.repartition(n, key) if small and df._jdf.rdd().getNumPartitions() * 2 <= n else df
 
 
