@@ -7,15 +7,23 @@ from pyspark.sql import functions as F
 
 from strataseek.llm import handwritten, markup, mixing, packing, quality, secrets, splitting, terms
 from strataseek.operators.dedup import one_per_key
-from strataseek.runtime import table
+from strataseek.runtime import spread, table
 
 
 def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct chunks and summaries as source_table, record_id, content."""
-    parts = [one_per_key(table(spark, sf_dir, name).select(F.col("id").alias("record_id"), "content"), "record_id").select(F.lit(name).alias("source_table"), "record_id", "content") for name in ("chunks", "summaries")]
+    parts = [one_per_key(spread(table(spark, sf_dir, name).select(F.col("id").alias("record_id"), "content"), "record_id"), "record_id").select(F.lit(name).alias("source_table"), "record_id", "content") for name in ("chunks", "summaries")]
     return parts[0].unionByName(parts[1])
 
 
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "chunks"), "id")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(documents(spark, sf_dir), "doc_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.score_terms(collection(spark, sf_dir)).where("tf >= 3 AND df BETWEEN 2 AND 5").select("source_table", "record_id", "term")
 
@@ -25,15 +33,15 @@ def p2_term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.markup_kinds(table(spark, sf_dir, "chunks"))
+    return markup.markup_kinds(chunks(spark, sf_dir))
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.clean_chunks(table(spark, sf_dir, "chunks"))
+    return markup.clean_chunks(chunks(spark, sf_dir))
 
 
 def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return handwritten.label_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks"))
+    return handwritten.label_files(table(spark, sf_dir, "files"), chunks(spark, sf_dir))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,15 +49,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_lines(table(spark, sf_dir, "chunks"))
+    return secrets.secret_lines(chunks(spark, sf_dir))
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.redacted(table(spark, sf_dir, "chunks"))
+    return secrets.redacted(chunks(spark, sf_dir))
 
 
 def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.split_oversized(table(spark, sf_dir, "chunks"), splitting.limits_of(table(spark, sf_dir, "size_limits")))
+    return splitting.split_oversized(chunks(spark, sf_dir), splitting.limits_of(table(spark, sf_dir, "size_limits")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +65,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "size_limits"))
+    return packing.pack_documents(documents(spark, sf_dir), table(spark, sf_dir, "size_limits"))
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +73,11 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return mixing.mix_documents(documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[0]
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+    return mixing.mix_documents(documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +85,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdicts(table(spark, sf_dir, "documents"), quality.word_lists(table(spark, sf_dir, "common_words")))
+    return quality.verdicts(documents(spark, sf_dir), quality.word_lists(table(spark, sf_dir, "common_words")))
 
 
 QUERIES = {
