@@ -21,7 +21,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(documents(spark, sf_dir), "doc_id")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
