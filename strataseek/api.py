@@ -7,6 +7,7 @@ counts reach the driver.
 from __future__ import annotations
 
 import hashlib
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,10 +40,9 @@ def _bounded(value, low: int, high: int, name: str) -> int:
 
 
 def _slug(value: str) -> str:
-    import re
-
-    last = value.strip().replace("\\", "/").split("/")[-1]
-    return re.sub(r"[^A-Za-z0-9._-]+", "-", last).strip(".-_").lower() or "item"
+    """``functions.text.slugify`` for one Python string."""
+    words = re.findall(r"[A-Za-z0-9._-]+", re.split(r"[\\/]", value.strip())[-1])
+    return "-".join(words).strip(".-_").lower() or "item"
 
 
 class KnowledgeBase:
