@@ -159,5 +159,5 @@ def shares(used: DataFrame, sized: DataFrame, mix_targets: DataFrame) -> DataFra
     took = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"), F.max("uses").alias("most_uses"))
     total = took.agg(F.sum("used_tokens").alias("all_tokens"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    out = mix_targets.join(have, "source", "left").join(took, "source", "left").join(F.broadcast(total))
+    out = mix_targets.select("source", "target_share", "max_repeats").join(have, "source", "left").join(took, "source", "left").join(F.broadcast(total))
     return out.select("source", "target_share", "max_repeats", zero("n_docs"), zero("n_tokens"), zero("used_tokens"), F.round(F.coalesce(F.try_divide("used_tokens", "all_tokens"), F.lit(0.0)), 9).alias("actual_share"), zero("most_uses"))

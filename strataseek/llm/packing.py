@@ -145,7 +145,10 @@ def positions(placed: DataFrame) -> DataFrame:
 
 
 def pack_documents(documents: DataFrame, size_limits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``pack`` for each token capacity of the fixed table ``size_limits``; texts are measured once. Adds limit_id."""
+    """``pack`` for each token capacity of the fixed table ``size_limits``; texts are measured once. Adds limit_id.
+
+    A table without token capacities is an error.
+    """
     sizes = materialise(token_counts(documents, ["doc_id"], vocabulary))
     limits = size_limits.where("unit = 'token'").select("limit_id", "capacity").distinct().orderBy("limit_id").collect()
     out = None

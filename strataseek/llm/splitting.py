@@ -86,9 +86,13 @@ def split_text(text: str, max_chars: int, max_lines: int, overlap_chars: int, ov
 
 
 def limits_of(size_limits: DataFrame) -> dict[str, int]:
-    """The arguments of ``split_text`` from the fixed table of limits (its units char and line; the smallest of each)."""
+    """The arguments of ``split_text`` from the fixed table of limits: its units char and line, the smallest of each.
+
+    A unit without a row has no limit.
+    """
     rows = size_limits.where("unit IN ('char', 'line')").groupBy("unit").agg(F.min(F.struct("capacity", "overlap")).alias("x")).select("unit", "x.*").collect()
-    return {f"{kind}_{r.unit}s": int(r[col]) for r in rows for kind, col in (("max", "capacity"), ("overlap", "overlap"))}
+    free = {f"{kind}_{unit}s": value for unit in ("char", "line") for kind, value in (("max", 2**31 - 1), ("overlap", 0))}
+    return free | {f"{kind}_{r.unit}s": int(r[col] or 0) for r in rows for kind, col in (("max", "capacity"), ("overlap", "overlap"))}
 
 
 def split_oversized(chunks: DataFrame, limits: dict[str, int]) -> DataFrame:

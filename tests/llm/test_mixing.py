@@ -38,7 +38,7 @@ def test_budgets():
 
 def run(spark, rows, targets, seed=0):
     sized = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, source string, n_tokens long, uses int")
-    goal = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
+    goal = spark.createDataFrame([(*t, 1) for t in targets], "source string, target_share double, max_repeats int, n_docs int")
     used = M.mix(sized, goal, seed)
     return {r.doc_id: r.uses for r in used.collect()}, {r.source: r for r in M.shares(used, sized, goal).collect()}
 

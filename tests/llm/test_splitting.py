@@ -61,6 +61,7 @@ def test_long_word_and_edges():
 def test_spark(spark):
     limits = limits_of(spark.createDataFrame([("a", "char", 40, 4), ("b", "line", 5, 1), ("c", "token", 9, 0), ("d", "char", 99, 1)], "limit_id string, unit string, capacity long, overlap long"))
     assert limits == {"max_chars": 40, "overlap_chars": 4, "max_lines": 5, "overlap_lines": 1}
+    assert limits_of(spark.createDataFrame([], "limit_id string, unit string, capacity long, overlap long")) == {"max_chars": 2**31 - 1, "overlap_chars": 0, "max_lines": 2**31 - 1, "overlap_lines": 0}
     rows = [(1, "a\nb\r\nc\rd\ne\n", 10, 7), (2, "a\n" * 12, 5, 7), (2, "a\n" * 12, 5, 7), (3, "😀" * 90, None, 1), (4, None, 1, 1), (5, "", 1, 1), (6, "a\n\n\n\n\n ", 1, 1)]
     df = spark.createDataFrame(rows, "id long, content string, line_start long, piece_no long")
     out = split_oversized(df, limits).orderBy("chunk_id", "piece_no").collect()
