@@ -13,17 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is taken and remembered in the session.
+    (local tests) a temporary folder is taken and kept for the application.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="strataseek-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        _delete_on_exit(spark, named)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="strataseek-")
+            _delete_on_exit(spark, _own[app])
+        named = _own[app]
     return named.rstrip("/")
 
 
