@@ -182,7 +182,7 @@ def _plain(text: str, ext: str) -> list[tuple[int, int, str]]:
                     out.append((m.start(), rest.end() if rest else body.end(), "private_key"))
     if "putty-user-key" in low:
         out += [(m.start(), m.end(), "private_key") for m in _PUTTY.finditer(text)]
-    out += [(m.start(), m.end(), "token") for m in _PROVIDER.finditer(text) if len(set(m.group(0))) > 8]
+    out += [(m.start(), m.end(), "token") for m in _PROVIDER.finditer(text) if len(set(m.group(0))) > 8 and "EXAMPLE" not in m.group(0)]
     if "://" in text and "@" in text:
         for m in _URL.finditer(text):
             v = m.group(2)
