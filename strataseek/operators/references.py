@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataseek.operators.skew import join_facts
+from strataseek.runtime import materialise
+
 KEYS = ["ref_table", "ref_id"]
 
 
@@ -33,17 +36,18 @@ def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     """The references whose parent is missing, later than the reference, or gone by then.
 
     Adds ``reason`` (missing, later, ended). Groups whose parent covers the
-    whole time span of its references are dropped before the join back, which
-    only then shuffles references; a hot key left over is split by Spark's
-    skew join. A reference without time (null ref_at) is an orphan only if
+    whole time span of its references are dropped before the join back; there
+    a key named by a large part of all references meets them by broadcast. A reference without time (null ref_at) is an orphan only if
     its parent is missing; null tables or ids never are. Repeated references
     stay repeated; empty inputs give no rows; other columns are kept, but one
     named ``reason`` is replaced.
     """
-    suspect = key_states(references, parents).where("n_refs > 0 AND (is_parent = 0 OR first_ref < since OR last_ref >= until)")
-    joined = references.join(suspect.select(*KEYS, *(F.col(c).alias(f"__{c}") for c in ("is_parent", "since", "until"))), KEYS)
+    rows = materialise(references)
+    suspect = key_states(rows, parents).where("n_refs > 0 AND (is_parent = 0 OR first_ref < since OR last_ref >= until)")
+    suspect = materialise(suspect.select(*KEYS, *(F.col(c).alias(f"__{c}") for c in ("is_parent", "since", "until", "n_refs"))))
+    joined = join_facts(rows, suspect, KEYS, "__n_refs", rows.count())
     reason = F.when(F.col("__is_parent") == 0, "missing").when(F.col("ref_at") < F.col("__since"), "later").when(F.col("ref_at") >= F.col("__until"), "ended")
-    return joined.withColumn("reason", reason).where("reason IS NOT NULL").drop("__is_parent", "__since", "__until")
+    return joined.withColumn("reason", reason).where("reason IS NOT NULL").drop("__is_parent", "__since", "__until", "__n_refs")
 
 
 def orphan_report(references: DataFrame, parents: DataFrame) -> DataFrame:
