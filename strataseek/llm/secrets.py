@@ -11,7 +11,6 @@ from urllib.parse import unquote_to_bytes
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 MASK = "[REDACTED]"
 
@@ -312,28 +311,35 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _extension(path: object) -> str:
+    name = re.split(r"[\\/]", path)[-1] if isinstance(path, str) else ""
+    return name.rpartition(".")[2].lower() if "." in name else ""
+
+
+def _searched(chunks: DataFrame) -> DataFrame:
+    return chunks.where("content IS NOT NULL AND content <> ''").select("id", "rel_path", "content")
+
+
 def scan_chunks(chunks: DataFrame) -> DataFrame:
-    """Secrets of chunks: chunk_id, line_no (from 1 in the chunk), kind, char_start, char_end, and content redacted.
+    """Secrets of chunks: chunk_id, line_no (from 1 in the chunk), kind, char_start, char_end.
 
     ``chunks``: id, rel_path, content. Every content is searched whole,
     whatever its path says. Rows without content, and contents without a
-    secret, give no rows; repeated rows give theirs once; other columns are
-    ignored. ``redacted`` is the same in every row of a chunk.
+    secret, give no rows; repeated rows give theirs again; other columns are
+    ignored.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for key, path, text in zip(pdf["id"], pdf["rel_path"], pdf["content"], strict=True):
-                name = re.split(r"[\\/]", path)[-1] if isinstance(path, str) else ""
-                spans = find_secrets(text, name.rpartition(".")[2].lower() if "." in name else "")
+                spans = find_secrets(text, _extension(path))
                 if spans:
                     ends = [m.end() for m in _LINES.finditer(text)]
-                    clean = redact(text, spans)
-                    rows += [(key, bisect_right(ends, a) + 1, kind, a, b, clean) for a, b, kind in spans]
-            yield pd.DataFrame(rows, columns=["chunk_id", "line_no", "kind", "char_start", "char_end", "redacted"])
+                    rows += [(key, bisect_right(ends, a) + 1, kind, a, b) for a, b, kind in spans]
+            yield pd.DataFrame(rows, columns=["chunk_id", "line_no", "kind", "char_start", "char_end"])
 
-    return chunks.where("content IS NOT NULL AND content <> ''").select("id", "rel_path", "content").mapInPandas(scan, f"chunk_id {dict(chunks.dtypes)['id']}, line_no long, kind string, char_start long, char_end long, redacted string")
+    return _searched(chunks).mapInPandas(scan, f"chunk_id {dict(chunks.dtypes)['id']}, line_no long, kind string, char_start long, char_end long")
 
 
 def secret_lines(chunks: DataFrame) -> DataFrame:
@@ -342,6 +348,15 @@ def secret_lines(chunks: DataFrame) -> DataFrame:
 
 
 def redacted(chunks: DataFrame) -> DataFrame:
-    """chunk_id, content (redacted), n_secrets of the chunks with secrets, each chunk once."""
-    found = scan_chunks(chunks).groupBy("chunk_id", F.col("redacted").alias("content")).agg(F.countDistinct("char_start").alias("n_secrets"))
-    return found
+    """chunk_id, content (redacted), n_secrets of the chunks with secrets; repeated rows count once."""
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, path, text in zip(pdf["id"], pdf["rel_path"], pdf["content"], strict=True):
+                spans = find_secrets(text, _extension(path))
+                if spans:
+                    rows.append((key, redact(text, spans), len(spans)))
+            yield pd.DataFrame(rows, columns=["chunk_id", "content", "n_secrets"])
+
+    return _searched(chunks).mapInPandas(clean, f"chunk_id {dict(chunks.dtypes)['id']}, content string, n_secrets long").distinct()
