@@ -89,7 +89,7 @@ def file_evidence(files: DataFrame, chunks: DataFrame) -> DataFrame:
     digits = F.try_divide("n_digit", "n_chars")
     literal = has & (F.col("n_literal") >= 0.5 * F.col("n_chars"))
     rows = (steady & (digits >= 0.14)) | (has & (digits >= 0.3) & program)
-    dense = has & (F.col("longest") >= 500) & (F.col("n_space") < 0.07 * F.col("n_chars")) & ~literal & ~rows
+    dense = has & (F.col("longest") >= F.when(program, 200).otherwise(500)) & (F.col("n_space") < 0.07 * F.col("n_chars")) & ~literal & ~rows
     made = F.coalesce("says_generated", F.lit(0)) == 1
     taken = F.coalesce("says_vendored", F.lit(0)) == 1
     own = F.coalesce("says_own", F.lit(0)) == 1
