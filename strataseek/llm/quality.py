@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,11 +28,13 @@ ELIDED = {"fr"}
 OTHERS = {"en": "and but is was because since while when if that so as it we", "de": "und aber wenn weil", "fr": "et mais que qui quand", "es": "y pero que cuando se"}
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+")
-_WORD_GAP = re.compile(r"([^\W\d_]+(?:['’][^\W\d_]+)?|\d+)([^\w]*|_+)")
+_GAPS = re.compile(r"([^\W\d_]+(?:['’][^\W\d_]+)?|\d+)")
+_STOP = re.compile(r"[.!?][\"'”»)\]]*(?:\s|\Z)|[。！？]")
 #: Lines of words and the commonest marks only, as prose mostly is; the tests for other kinds of lines need not look at them.
 _PLAIN = re.compile(r"\s*[^\W\d_][\w ,.!?'’%-]*\Z")
 _PLAIN_CODE = ("import ", "from ", "package ", "return", "SELECT ", "INSERT ", "UPDATE ", "DELETE ", "CREATE ", "FROM ", "WHERE ", "GROUP BY", "ORDER BY")
 _HAN = re.compile(r"[\u3400-\u9fff\uf900-\ufaff]")
+_HANS = re.compile(r"[\u3400-\u9fff\uf900-\ufaff]+")
 _SENTENCE = re.compile(r"[^.!?。！？]*(?:[.!?](?=\S)[^.!?。！？]*)*[.!?。！？]*[\"'”»)\]]*\s*")
 _BULLET = re.compile(r"\s*(?:[-*+•–·▪◦]|\(?\d{1,4}[.)]|[a-zA-Z][.)])\s+")
 _TABULAR = re.compile(r"\t|^\s*\||\S\s\|\s\S|\s[»›]\s|\s>\s|\s[;¦]\s|\.{4,}|(?:\S\s{3,}\S.*){2}")
@@ -40,16 +45,24 @@ _CODE = re.compile(
     r"|:=|=>|==|&&|\|\||^\s*[\w.\[\]\"']+\s*[+*/-]?=\s*\S|^\s*[{\[].*[:,].*[}\]],?$|^\s*[\w.]+\([^()]*\)$|^\s*(?:SELECT|INSERT|UPDATE|DELETE|CREATE|FROM|WHERE|GROUP BY|ORDER BY)\s"
 )
 _PATH = re.compile(r"(?:[\w.-]+/){2,}[\w.-]+|[A-Za-z]:\\\S+|https?://\S+")
-_END = re.compile(r"[.!?。！？…:;][\"'”»)\]]*\s*$")
-STATS = ["mean_word_length", "symbol_ratio", "digit_ratio", "end_punct_share", "common_share", "repeated_share", "short_line_share", "wrong_order_share", "natural_share"]
-#: Direction in which a statistic speaks against prose: -1 low, 1 high, 0 either.
-TAILS = {"mean_word_length": 0, "symbol_ratio": 1, "digit_ratio": 1, "end_punct_share": -1, "common_share": -1, "repeated_share": 1, "short_line_share": 1, "wrong_order_share": 1, "natural_share": -1}
-_SCHEMA = "n_words long, n_lines long, " + ", ".join(f"{s} double" for s in STATS)
+_MARKS = frozenset(".!?。！？…:;")
+_CLOSERS = "\"'”»)]"
+#: What ends a sentence inside a text, as counted for ``sentence_rate``.
+_ENDINGS = (". ", ".\n", "! ", "!\n", "? ", "?\n", "。", "！", "？")
+_DIGITS = b"0123456789"
+_SYMBOLS = bytes(i for i in range(33, 127) if not chr(i).isalnum())
+#: Statistics that are ranked, each with a share between 0 and 1 and the tail that speaks against prose: -1 low, 1 high.
+TAILS = {"common_share": -1, "sentence_rate": -1, "repeated_share": 1, "wrong_order_share": 1, "symbol_ratio": 1}
+#: Ranked values are rounded to this many digits, so a language has at most 10,001 of each.
+DIGITS = 4
+STATS = ["n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "end_punct_share", "common_share", "repeated_share", "short_line_share", "wrong_order_share", "sentence_rate"]
+_TYPES = {"n_words": "long", "n_lines": "long"}
+_SCHEMA = ", ".join(f"{s} {_TYPES.get(s, 'double')}" for s in STATS)
 
 
 def _ends(line: str) -> bool:
-    """Whether a line ends as a sentence does; only its last characters are looked at."""
-    return bool(_END.search(line.rstrip()[-8:]))
+    """Whether a line ends as a sentence does, closing quotes and brackets aside."""
+    return line.rstrip().rstrip(_CLOSERS).rstrip()[-1:] in _MARKS and bool(line)
 
 
 class Judge:
@@ -62,10 +75,14 @@ class Judge:
         for i, x in enumerate(self.names):
             for w in common[x]:
                 self.of[w] = (*self.of.get(w, ()), i)
+        self.any = frozenset(self.of)
         cls = lambda t, x: frozenset(t.get(x, "").split())
         self.det = {x: cls(DETERMINERS, x) for x in common}
         self.prep = {x: cls(PREPOSITIONS, x) for x in common}
         self.rest = {x: cls(OTHERS, x) for x in common}
+        self.lead = {x: self.det[x] | self.prep[x] for x in common}
+        self.after_det = {x: self.rest[x] | self.prep[x] | self.det[x] for x in common}
+        self.after_prep = {x: self.rest[x] | self.prep[x] for x in common}
 
     def language(self, words: list[str]) -> str | None:
         """The language whose common words a text holds most of."""
@@ -83,23 +100,30 @@ class Judge:
         n = sum(map(self.common[language].__contains__, words))
         return n + sum(w[1:2] in "'’" and len(w) > 2 for w in words) if language in ELIDED else n
 
-    def sentence(self, text: str, found: list[tuple[str, str]], language: str | None = None) -> int:
+    def order(self, words: list[str], language: str | None) -> float:
+        """Share of determiners and prepositions that another function word follows which cannot."""
+        if not language or not self.lead[language]:
+            return 0.0
+        lead, det, after_det, after_prep = self.lead[language], self.det[language], self.after_det[language], self.after_prep[language]
+        at = [i for i, w in enumerate(words) if w in lead]
+        if not at:
+            return 0.0
+        words = [*words, ""]
+        return sum(words[i + 1] in (after_det if words[i] in det else after_prep) for i in at) / len(at)
+
+    def sentence(self, words: list[str], gaps: list[str], size: int, language: str | None = None) -> int:
         """1 for a natural sentence (or several without marks between), -1 for its words in a wrong order, else 0.
 
-        ``found``: its words, lower case, each with what follows it. ``language``
-        is that of the paragraph, for sentences without common words of their own.
+        ``words``: lower case; ``gaps``: what follows each; ``size``: its
+        characters, blanks apart. ``language`` is that of the paragraph, for
+        sentences without common words of their own.
         """
-        size = len(text) - text.count(" ")
-        if not text.isascii():
-            han = len(_HAN.findall(text))
-            if han * 2 > size:
-                return int(han >= 6 and not _TABULAR.search(text))
-        words = [w for w, _ in found]
         n = len(words)
-        if n < 4 or sum(map(len, words)) < 0.6 * size or max(map(len, words)) > 45:
+        joined = "".join(words)
+        if n < 4 or len(joined) < 0.6 * size or (size > 45 and max(map(len, words)) > 45):
             return 0
         hits = self.hits(words, language) if language else 0
-        plain = n - sum(map(str.isdigit, words))
+        plain = n if joined.isalpha() else n - sum(map(str.isdigit, words))
         if hits * 6 < plain:
             own = self.language(words)
             if own and own != language:
@@ -108,15 +132,15 @@ class Judge:
             return 0
         if hits * 14 < plain or plain < 4 or plain * 2 < n:
             return 0
-        det, prep, rest = self.det[language], self.prep[language], self.rest[language]
+        lead, det, prep, rest = self.lead[language], self.det[language], self.prep[language], self.rest[language]
         seen = bad = 0
-        for i, a in enumerate(words):
-            if a in det or a in prep:
-                b = words[i + 1] if i + 1 < n else ""
-                if b and not found[i][1].isspace():
-                    continue  # a mark between them
-                seen += 1
-                bad += b in rest or (b in prep and a != "from") or (a in det and (not b or b in det))
+        for i in [i for i, a in enumerate(words) if a in lead]:
+            b = words[i + 1] if i + 1 < n else ""
+            if b and not gaps[i].isspace():
+                continue  # a mark between them
+            seen += 1
+            a = words[i]
+            bad += b in rest or (b in prep and a != "from") or (a in det and (not b or b in det))
         return 1 if (bad <= 1 + 0.08 * seen if seen > 8 else bad * 4 <= seen) else -1
 
     def natural(self, text: str) -> tuple[int, int]:
@@ -135,23 +159,54 @@ class Judge:
                 return 0  # menus: short lines that do not end as sentences do
             para = " ".join(block)
             block.clear()
-            parts = [(s, _WORD_GAP.findall(s.lower())) for m in _SENTENCE.finditer(para) if (s := m.group(0).strip())]
-            words = [w for _, found in parts for w, _ in found if not w.isdigit()]
-            language = self.language(words)
-            if len(words) > 14 and language and self.hits(words, language) * 16 < len(words):
+            if not para.isascii():
+                han = sum(map(len, _HANS.findall(para)))
+                if han and han * 4 > len(para) - para.count(" "):
+                    return chinese(para)
+            parts = _GAPS.split(para.lower())
+            words, gaps = parts[1::2], parts[2::2]
+            if not words:
+                return 0
+            plain = words if "".join(words).isalpha() else [w for w in words if not w.isdigit()]
+            language = self.language(plain)
+            if len(plain) > 14 and language and self.hits(plain, language) * 16 < len(plain):
                 return 0  # noise that holds a common word by chance
             good = wrong = 0
-            for s, found in parts:
-                key = s.rstrip(".!?。！？ ").lower()
+            gaps[-1] += " "
+            stops = [i + 1 for i, g in enumerate(gaps) if len(g) > 1 and g != ", " and _STOP.search(g)]
+            if stops[-1:] != [len(words)]:
+                stops.append(len(words))
+            at = 0
+            for to in stops:
+                mine = words[at:to]
+                key = " ".join(mine)
                 if key not in seen:
                     seen.add(key)
-                    verdict = self.sentence(s, found, language)
+                    whole = "".join(parts[2 * at + 1 : 2 * to + 1])
+                    chars = len(whole) - whole.count(" ")
+                    verdict = self.sentence(mine, gaps[at:to], chars, language)
                     if verdict:
-                        chars = len(s) - s.count(" ")
                         good, wrong = (good + chars, wrong) if verdict > 0 else (good, wrong + chars)
+                at = to
             scrambled += wrong
             return 0 if wrong * 4 >= good else good  # a scrambled paragraph has sentences that look right by chance
 
+        def chinese(para: str) -> int:
+            good = 0
+            for m in _SENTENCE.finditer(para):
+                s = m.group(0).strip()
+                key = s.rstrip(".!?。！？ ").lower()
+                if s and key not in seen:
+                    seen.add(key)
+                    size = len(s) - s.count(" ")
+                    han = sum(map(len, _HANS.findall(s)))
+                    if han * 2 > size:
+                        good += size * (han >= 6 and not _TABULAR.search(s))
+                    else:
+                        parts = _GAPS.split(s.lower())
+                        good += size * (self.sentence(parts[1::2], parts[2::2], size) > 0)
+            return good
+
         fenced = False
         for line in text.split("\n"):
             bare = line.strip()
@@ -177,68 +232,94 @@ class Judge:
 
 
 def statistics(text: str, judge: Judge) -> tuple:
-    """The values of ``_SCHEMA`` for one text; an empty text has zeros throughout."""
-    text = re.sub(r"\r\n?", "\n", text)
-    low = _WORD.findall(text.lower())
-    lines = [x for x in text.split("\n") if x.strip()]
-    size = sum(map(len, text.split()))
-    if not size:
-        return (0, 0, *[0.0] * len(STATS))
-    han = 0 if text.isascii() else len(_HAN.findall(text))
-    n = len(low) + han
-    digits = sum(len(w) for w in low if w.isdigit())
-    letters = sum(map(len, low)) - digits
-    language = judge.language(low)
-    common = sum(map(judge.common[language].__contains__, low)) / len(low) if language and low else (0.5 if han * 2 > size else 0.0)
-    ended = [_ends(x) for x in lines]
-    ends = sum(ended)
-    natural, scrambled = judge.natural(text)
-    short = sum(len(x) < 32 and not e for x, e in zip(lines, ended, strict=True))
+    """The values of ``STATS`` for one text, none of which looks at its sentences; an empty text has zeros throughout.
+
+    Words are what stands between white space; a Han character is a word.
+    Line ends must be LF.
+    """
+    lines = [y for x in text.split("\n") if (y := x.strip())]
+    if not lines:
+        return (0, 0, *[0.0] * (len(STATS) - 2))
+    low = text.lower().split()
+    size = sum(map(len, low))
+    raw = text.encode("utf-8", "replace")
+    han = 0 if len(raw) == len(text) else sum(map(len, _HANS.findall(text)))
+    n, k = len(low) + han, len(lines)
+    hits = [w for w in low if w in judge.any]
+    language = judge.language(hits) if hits else None
+    common = sum(map(judge.common[language].__contains__, hits)) / len(low) if language else (0.3 if han * 2 > size else 0.0)
+    ended = list(map(_ends, lines))
+    parts = [x for x in text.replace(". ", ".\n").split("\n") if x and not x.isspace()]
+    closed = text + "\n"
     return (
         n,
-        len(lines),
-        letters / max(1, len(low)),
-        1 - min(1.0, (letters + digits) / size),
-        digits / size,
-        ends / max(1, len(lines)),
+        k,
+        size / n,
+        (len(raw) - len(raw.translate(None, _SYMBOLS))) / size,
+        (len(raw) - len(raw.translate(None, _DIGITS))) / size,
+        sum(ended) / k,
         common,
-        1 - len(set(lines)) / max(1, len(lines)),
-        short / max(1, len(lines)),
-        scrambled / size,
-        natural / size,
+        1 - len(set(parts)) / len(parts),
+        sum(len(x) < 32 and not e for x, e in zip(lines, ended, strict=True)) / k,
+        judge.order(low, language),
+        sum(map(closed.count, _ENDINGS)) / size,
     )
 
 
+_RANKED = [(s, STATS.index(s)) for s in TAILS]
+
+
+def natural_share(text: str, judge: Judge) -> float:
+    """Share of the characters of a text, white space apart, that stand in natural sentences. Line ends must be LF."""
+    size = sum(map(len, text.split()))
+    return judge.natural(text)[0] / size if size else 0.0
+
+
+def _lf(text: str) -> str:
+    return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
+
+
 def word_lists(common_words: DataFrame) -> dict[str, list[str]]:
     """Common words per language; a fixed table of some hundred rows."""
     rows = common_words.where("lang IS NOT NULL AND word IS NOT NULL").groupBy("lang").agg(F.sort_array(F.collect_set(F.lower("word"))).alias("words")).collect()
     return {r.lang: r.words for r in rows}
 
 
-def document_statistics(documents: DataFrame, common: dict[str, list[str]]) -> DataFrame:
-    """doc_id, lang ('und' for null) and the statistics of every document; a null text counts as empty."""
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def ranked_values(documents: DataFrame, common: dict[str, list[str]]) -> DataFrame:
+    """grp (the language), stat, value, n: how often each rounded value of a ranked statistic occurs.
+
+    Each task counts its own rows before anything is shuffled.
+    """
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Judge(common)
-        names = [c.split()[0] for c in _SCHEMA.split(", ")]
+        names = ["grp", "stat", "value", "n"]
+        seen: Counter[tuple[str, str, float]] = Counter()
         for pdf in batches:
-            rows = [statistics(t, judge) for t in pdf["text"]]
-            yield pd.concat([pdf[["doc_id", "lang"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+            for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
+                v = statistics(_lf(text), judge)
+                seen.update([(lang, s, round(v[i], DIGITS)) for s, i in _RANKED])
+            if len(seen) > 200_000:
+                yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=names)
+                seen.clear()
+        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=names)
 
-    rows = documents.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(measure, f"doc_id {dict(rows.dtypes)['doc_id']}, lang string, {_SCHEMA}")
+    counts = _texts(documents).select("lang", "text").mapInPandas(measure, "grp string, stat string, value double, n long")
+    return counts.groupBy("grp", "stat", "value").agg(F.sum("n").alias("n"))
 
 
-def tail_probabilities(values: DataFrame, partitions: int) -> DataFrame:
+def tail_probabilities(counted: DataFrame, partitions: int) -> DataFrame:
     """Exact empirical tails per group: grp, stat, value, n, left = P(X <= value), right = P(X >= value).
 
-    ``values``: grp, stat, value. Equal values are counted first, so a value
-    shared by many rows is one row from then on. The distinct values are
-    sorted by range partitioning; a rank is the running count within its
-    partition plus the offset of that partition, the counts of the partitions
-    before it in the same group. No task sees a whole group.
+    ``counted``: grp, stat, value (each once) and the number ``n`` of its
+    rows. The values are sorted by range partitioning; a rank is the running
+    count within its partition plus the offset of that partition, the counts
+    of the partitions before it in the same group. No task sees a whole group.
     """
-    counted = values.groupBy("grp", "stat", "value").agg(F.count("*").alias("n"))
     ranged = counted.repartitionByRange(partitions, "grp", "stat", "value").withColumn("part", F.spark_partition_id())
     ranged = materialise(ranged.sortWithinPartitions("grp", "stat", "value"))
     sums = ranged.groupBy("grp", "stat", "part").agg(F.sum("n").alias("n_part"))
@@ -251,33 +332,85 @@ def tail_probabilities(values: DataFrame, partitions: int) -> DataFrame:
     return ranks.select("grp", "stat", "value", "n", (upto / F.col("total")).alias("left"), ((F.col("total") - upto + F.col("n")) / F.col("total")).alias("right"))
 
 
-def outlier_scores(documents: DataFrame, common: dict[str, list[str]]) -> DataFrame:
-    """Statistics of every document with ``outlier``, the sum of -ln of its tail probabilities.
-
-    Each statistic is ranked exactly among the documents of the same ``lang``;
-    its tail is the one that speaks against prose, or the smaller one. Values
-    held by many documents meet their probability by broadcast, the others by
-    shuffle. One row per input row; doc_id must be unique; an empty table
-    gives an empty result; other columns are ignored.
-    """
-    stats = materialise(document_statistics(documents, common))
-    pairs = F.explode(F.array(*(F.struct(F.lit(s).alias("stat"), (F.col(s) + 0.0).alias("value")) for s in STATS))).alias("p")
-    long = stats.select("doc_id", F.col("lang").alias("grp"), pairs).select("doc_id", "grp", "p.stat", "p.value")
-    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    tails = materialise(tail_probabilities(long, partitions))
-    joined = join_facts(long, tails, ["grp", "stat", "value"], "n", stats.count() * len(STATS))
-    side = F.create_map(*(F.lit(x) for s in STATS for x in (s, TAILS[s])))[F.col("stat")]
-    tail = F.when(side == -1, F.col("left")).when(side == 1, F.col("right")).otherwise(F.least(F.lit(1.0), 2 * F.least("left", "right")))
-    scores = joined.groupBy("doc_id").agg(F.round(F.sum(-F.log(tail)), 6).alias("outlier"))
-    return stats.join(scores, "doc_id")
-
-
-#: Documents from this outlier score on are looked at. Prose that is ordinary in all respects has about 0; where junk is
-#: less than a third of a language, its share of natural sentences alone gives a junk document more than this.
-OUTLIER_MIN = 1.0
+#: Truncated product: a tail probability above this says nothing and adds nothing to the score.
+TAIL_MAX = 0.3
+#: Documents from this score on are picked: one statistic among the outer 30 % of its language, or several further in.
+OUTLIER_MIN = -math.log(TAIL_MAX) - 1e-9
+#: A language of fewer documents is ranked among all documents.
+LANGUAGE_MIN = 20
+#: Tails of up to this number of languages are handed to every task at once; a language has at most 10,001 values of each
+#: ranked statistic. Beyond it, scores are joined by shuffle.
+LANGUAGES_MAX = 40
+#: The group of all documents.
+ALL = "*"
 
 
 def verdicts(documents: DataFrame, common: dict[str, list[str]], least: float = OUTLIER_MIN) -> DataFrame:
-    """Scores with ``is_prose``: false where a document stands out and less than half of it is natural sentences."""
-    scored = outlier_scores(documents, common)
-    return scored.withColumn("is_prose", ~((F.col("outlier") >= least) & (F.col("natural_share") < 0.5)))
+    """doc_id, lang ('und' for null), STATS, outlier, natural_share, is_prose for every document.
+
+    ``documents``: doc_id (unique), lang, text. ``outlier`` is the sum of -ln
+    of the tail probabilities up to TAIL_MAX of the ranked statistics, each
+    ranked exactly among the documents of the same language (of all, where it
+    has fewer than LANGUAGE_MIN), on the side that speaks against prose. A
+    document that stands out (``least``) is then read sentence by sentence:
+    it is no prose if less than half of its characters stand in natural
+    sentences. The others are prose, with a null ``natural_share``. The texts
+    are read twice and, up to LANGUAGES_MAX languages, never shuffled.
+
+    One row per input row. A null text counts as empty; an empty text is no
+    prose; an empty table gives an empty result; other columns are ignored.
+    """
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    counted = materialise(ranked_values(documents, common))
+    whole = counted.groupBy(F.lit(ALL).alias("grp"), "stat", "value").agg(F.sum("n").alias("n"))
+    languages = counted.where((F.col("stat") == next(iter(TAILS))) & (F.col("grp") != ALL)).groupBy("grp").agg(F.sum("n").alias("__n")).where(F.col("__n") >= LANGUAGE_MIN).select("grp")
+    languages = materialise(languages)
+    tails = tail_probabilities(counted.join(languages, "grp").unionByName(whole), partitions)
+    side = F.create_map(*(F.lit(x) for s in TAILS.items() for x in s))[F.col("stat")]
+    tail = F.when(side < 0, F.col("left")).otherwise(F.col("right"))
+    points = materialise(tails.select("grp", "stat", "value", "n", F.when(tail <= TAIL_MAX, -F.log(tail)).otherwise(0.0).alias("points")))
+    rows = _texts(documents)
+    out = f"doc_id {dict(rows.dtypes)['doc_id']}, lang string, {_SCHEMA}, outlier double, natural_share double, is_prose boolean"
+    named = [r.grp for r in languages.limit(LANGUAGES_MAX + 1).collect()]
+    if len(named) <= LANGUAGES_MAX:
+        known: dict[str, dict[str, dict[float, float]]] = {x: {} for x in (ALL, *named)}
+        for r in points.where("points > 0").collect():
+            known[r.grp].setdefault(r.stat, {})[r.value] = r.points
+        shared = documents.sparkSession.sparkContext.broadcast(known)
+
+        def look_up(pdf: pd.DataFrame, stats: list[tuple]) -> list[float]:
+            known = shared.value
+            return [_score(known[lang if lang in known else ALL], v) for lang, v in zip(pdf["lang"], stats, strict=True)]
+
+        return rows.mapInPandas(partial(_judge, common=common, least=least, score=look_up), out)
+    values = rows.mapInPandas(partial(_values, common=common), f"doc_id {dict(rows.dtypes)['doc_id']}, lang string, stat string, value double")
+    values = values.join(languages.select(F.col("grp").alias("lang"), "grp"), "lang", "left").withColumn("grp", F.coalesce("grp", F.lit(ALL)))
+    values = materialise(values)
+    scores = join_facts(values, points, ["grp", "stat", "value"], "n", values.count()).groupBy("doc_id").agg(F.sum("points").alias("outlier"))
+    return rows.join(scores, "doc_id").mapInPandas(partial(_judge, common=common, least=least, score=lambda pdf, _: list(pdf["outlier"])), out)
+
+
+def _score(points: dict[str, dict[float, float]], stats: tuple) -> float:
+    return sum(points.get(s, {}).get(round(stats[i], DIGITS), 0.0) for s, i in _RANKED)
+
+
+def _values(batches: Iterator[pd.DataFrame], common: dict[str, list[str]]) -> Iterator[pd.DataFrame]:
+    judge = Judge(common)
+    for pdf in batches:
+        stats = [statistics(_lf(t), judge) for t in pdf["text"]]
+        rows = [(key, lang, s, round(v[i], DIGITS)) for key, lang, v in zip(pdf["doc_id"], pdf["lang"], stats, strict=True) for s, i in _RANKED]
+        yield pd.DataFrame(rows, columns=["doc_id", "lang", "stat", "value"])
+
+
+def _judge(batches: Iterator[pd.DataFrame], common: dict[str, list[str]], least: float, score: Callable[[pd.DataFrame, list[tuple]], list[float]]) -> Iterator[pd.DataFrame]:
+    judge = Judge(common)
+    for pdf in batches:
+        texts = [_lf(t) for t in pdf["text"]]
+        stats = [statistics(t, judge) for t in texts]
+        scores = score(pdf, stats)
+        shares = [natural_share(t, judge) if x >= least or not v[0] else None for t, x, v in zip(texts, scores, stats, strict=True)]
+        out = pd.concat([pdf[["doc_id", "lang"]].reset_index(drop=True), pd.DataFrame(stats, columns=STATS)], axis=1)
+        out["outlier"] = [round(x, 6) for x in scores]
+        out["natural_share"] = pd.Series(shares, dtype="float64")
+        out["is_prose"] = [share is None or share >= 0.5 for share in shares]
+        yield out
