@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +29,9 @@ OTHERS = {"en": "and but is was because since while when if that so as it we", "
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+")
 _GAPS = re.compile(r"([^\W\d_]+(?:['’][^\W\d_]+)?|\d+)")
+#: The commonest gaps between words that end a sentence, and that do not; ``_STOP`` tells the others.
+_STOPS = frozenset((". ", "! ", "? ", "。"))
+_GOES_ON = frozenset((", ", "; ", ": ", "-", ",", ".", "/", "_", " (", ") ", "), ", "'", "’", " - ", " – ", "="))
 _STOP = re.compile(r"[.!?][\"'”»)\]]*(?:\s|\Z)|[。！？]")
 #: Lines of words and the commonest marks only, as prose mostly is; the tests for other kinds of lines need not look at them.
 _PLAIN = re.compile(r"\s*[^\W\d_][\w ,.!?'’%-]*\Z")
@@ -48,16 +51,19 @@ _PATH = re.compile(r"(?:[\w.-]+/){2,}[\w.-]+|[A-Za-z]:\\\S+|https?://\S+")
 _MARKS = frozenset(".!?。！？…:;")
 _CLOSERS = "\"'”»)]"
 #: What ends a sentence inside a text, as counted for ``sentence_rate``.
-_ENDINGS = (". ", ".\n", "! ", "!\n", "? ", "?\n", "。", "！", "？")
+_ENDINGS = tuple(x.encode() for x in (". ", ".\n", "! ", "!\n", "? ", "?\n", "。", "！", "？"))
 _DIGITS = b"0123456789"
 _SYMBOLS = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 #: Statistics that are ranked, each with a share between 0 and 1 and the tail that speaks against prose: -1 low, 1 high.
 TAILS = {"common_share": -1, "sentence_rate": -1, "repeated_share": 1, "wrong_order_share": 1, "symbol_ratio": 1}
 #: Ranked values are rounded to this many digits, so a language has at most 10,001 of each.
 DIGITS = 4
-STATS = ["n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "end_punct_share", "common_share", "repeated_share", "short_line_share", "wrong_order_share", "sentence_rate"]
-_TYPES = {"n_words": "long", "n_lines": "long"}
-_SCHEMA = ", ".join(f"{s} {_TYPES.get(s, 'double')}" for s in STATS)
+DESCRIBED = ["n_words", "n_lines", "mean_word_length", "digit_ratio", "end_punct_share", "short_line_share"]
+STATS = [*DESCRIBED, *TAILS]
+
+
+def _schema(describe: bool) -> str:
+    return ", ".join(f"{s} {'long' if s[:2] == 'n_' else 'double'}" for s in (STATS if describe else TAILS))
 
 
 def _ends(line: str) -> bool:
@@ -71,11 +77,7 @@ class Judge:
     def __init__(self, common: dict[str, list[str]]):
         self.common = {x: frozenset(w) for x, w in common.items()}
         self.names = sorted(common)
-        self.of: dict[str, tuple[int, ...]] = {}
-        for i, x in enumerate(self.names):
-            for w in common[x]:
-                self.of[w] = (*self.of.get(w, ()), i)
-        self.any = frozenset(self.of)
+        self.any = frozenset(w for x in common.values() for w in x)
         cls = lambda t, x: frozenset(t.get(x, "").split())
         self.det = {x: cls(DETERMINERS, x) for x in common}
         self.prep = {x: cls(PREPOSITIONS, x) for x in common}
@@ -86,14 +88,13 @@ class Judge:
 
     def language(self, words: list[str]) -> str | None:
         """The language whose common words a text holds most of."""
-        hits = [0] * len(self.names)
-        of = self.of
-        for w in words:
-            if w in of:
-                for i in of[w]:
-                    hits[i] += 1
-        most = max(hits, default=0)
-        return self.names[hits.index(most)] if most else None
+        words = [w for w in words if w in self.any]
+        best, most = None, 0
+        for x in self.names if words else ():
+            n = sum(map(self.common[x].__contains__, words))
+            if n > most:
+                best, most = x, n
+        return best
 
     def hits(self, words: list[str], language: str) -> int:
         """Common words of a language among words, elided articles included."""
@@ -105,11 +106,8 @@ class Judge:
         if not language or not self.lead[language]:
             return 0.0
         lead, det, after_det, after_prep = self.lead[language], self.det[language], self.after_det[language], self.after_prep[language]
-        at = [i for i, w in enumerate(words) if w in lead]
-        if not at:
-            return 0.0
-        words = [*words, ""]
-        return sum(words[i + 1] in (after_det if words[i] in det else after_prep) for i in at) / len(at)
+        followed = [(a in det, b) for a, b in zip(words, [*words[1:], ""], strict=True) if a in lead]
+        return sum([b in (after_det if d else after_prep) for d, b in followed]) / len(followed) if followed else 0.0
 
     def sentence(self, words: list[str], gaps: list[str], size: int, language: str | None = None) -> int:
         """1 for a natural sentence (or several without marks between), -1 for its words in a wrong order, else 0.
@@ -173,7 +171,7 @@ class Judge:
                 return 0  # noise that holds a common word by chance
             good = wrong = 0
             gaps[-1] += " "
-            stops = [i + 1 for i, g in enumerate(gaps) if len(g) > 1 and g != ", " and _STOP.search(g)]
+            stops = [i + 1 for i, g in enumerate(gaps) if g != " " and (g in _STOPS or (g not in _GOES_ON and _STOP.search(g)))]
             if stops[-1:] != [len(words)]:
                 stops.append(len(words))
             at = 0
@@ -231,42 +229,39 @@ class Judge:
         return total, scrambled
 
 
-def statistics(text: str, judge: Judge) -> tuple:
-    """The values of ``STATS`` for one text, none of which looks at its sentences; an empty text has zeros throughout.
+def ranked(text: str, judge: Judge) -> tuple:
+    """The values of ``TAILS`` for one text, none of which looks at its sentences; an empty text has zeros throughout.
 
-    Words are what stands between white space; a Han character is a word.
-    Line ends must be LF.
+    Words are what stands between white space. Line ends must be LF.
     """
-    lines = [y for x in text.split("\n") if (y := x.strip())]
-    if not lines:
-        return (0, 0, *[0.0] * (len(STATS) - 2))
     low = text.lower().split()
+    if not low:
+        return (0.0,) * len(TAILS)
     size = sum(map(len, low))
     raw = text.encode("utf-8", "replace")
-    han = 0 if len(raw) == len(text) else sum(map(len, _HANS.findall(text)))
-    n, k = len(low) + han, len(lines)
     hits = [w for w in low if w in judge.any]
     language = judge.language(hits) if hits else None
-    common = sum(map(judge.common[language].__contains__, hits)) / len(low) if language else (0.3 if han * 2 > size else 0.0)
-    ended = list(map(_ends, lines))
+    if language:
+        common = sum(map(judge.common[language].__contains__, hits)) / len(low)
+    else:
+        common = 0.3 if len(raw) > len(text) and 2 * sum(map(len, _HANS.findall(text))) > size else 0.0
     parts = [x for x in text.replace(". ", ".\n").split("\n") if x and not x.isspace()]
-    closed = text + "\n"
-    return (
-        n,
-        k,
-        size / n,
-        (len(raw) - len(raw.translate(None, _SYMBOLS))) / size,
-        (len(raw) - len(raw.translate(None, _DIGITS))) / size,
-        sum(ended) / k,
-        common,
-        1 - len(set(parts)) / len(parts),
-        sum(len(x) < 32 and not e for x, e in zip(lines, ended, strict=True)) / k,
-        judge.order(low, language),
-        sum(map(closed.count, _ENDINGS)) / size,
-    )
+    closed = raw + b"\n"
+    ends = sum(map(closed.count, _ENDINGS if len(raw) > len(text) else _ENDINGS[:6]))
+    return (common, ends / size, 1 - len(set(parts)) / len(parts), judge.order(low, language), (len(raw) - len(raw.translate(None, _SYMBOLS))) / size)
 
 
-_RANKED = [(s, STATS.index(s)) for s in TAILS]
+def described(text: str) -> tuple:
+    """The values of ``STATS`` beside the ranked ones. A Han character is a word; line ends must be LF."""
+    lines = [y for x in text.split("\n") if (y := x.strip())]
+    if not lines:
+        return (0, 0, 0.0, 0.0, 0.0, 0.0)
+    words = text.split()
+    size, k = sum(map(len, words)), len(lines)
+    raw = text.encode("utf-8", "replace")
+    n = len(words) + (0 if len(raw) == len(text) else sum(map(len, _HANS.findall(text))))
+    ended = list(map(_ends, lines))
+    return (n, k, size / n, (len(raw) - len(raw.translate(None, _DIGITS))) / size, sum(ended) / k, sum(len(x) < 32 and not e for x, e in zip(lines, ended, strict=True)) / k)
 
 
 def natural_share(text: str, judge: Judge) -> float:
@@ -295,20 +290,19 @@ def ranked_values(documents: DataFrame, common: dict[str, list[str]]) -> DataFra
     Each task counts its own rows before anything is shuffled.
     """
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(common)
-        names = ["grp", "stat", "value", "n"]
         seen: Counter[tuple[str, str, float]] = Counter()
-        for pdf in batches:
-            for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                v = statistics(_lf(text), judge)
-                seen.update([(lang, s, round(v[i], DIGITS)) for s, i in _RANKED])
+        for batch in batches:
+            for lang, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "text")), strict=True):
+                seen.update([(lang, s, round(v, DIGITS)) for s, v in zip(TAILS, ranked(_lf(text), judge), strict=True)])
             if len(seen) > 200_000:
-                yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=names)
+                yield _batch([*zip(*((*k, n) for k, n in seen.items()), strict=True)], types)
                 seen.clear()
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=names)
+        yield _batch([*zip(*((*k, n) for k, n in seen.items()), strict=True)], types)
 
-    counts = _texts(documents).select("lang", "text").mapInPandas(measure, "grp string, stat string, value double, n long")
+    types = {"grp": pa.string(), "stat": pa.string(), "value": pa.float64(), "n": pa.int64()}
+    counts = _texts(documents).select("lang", "text").mapInArrow(measure, "grp string, stat string, value double, n long")
     return counts.groupBy("grp", "stat", "value").agg(F.sum("n").alias("n"))
 
 
@@ -345,9 +339,11 @@ LANGUAGES_MAX = 40
 ALL = "*"
 
 
-def verdicts(documents: DataFrame, common: dict[str, list[str]], least: float = OUTLIER_MIN) -> DataFrame:
+def verdicts(documents: DataFrame, common: dict[str, list[str]], least: float = OUTLIER_MIN, describe: bool = True) -> DataFrame:
     """doc_id, lang ('und' for null), STATS, outlier, natural_share, is_prose for every document.
 
+    Without ``describe`` the statistics are only those of TAILS.
+
     ``documents``: doc_id (unique), lang, text. ``outlier`` is the sum of -ln
     of the tail probabilities up to TAIL_MAX of the ranked statistics, each
     ranked exactly among the documents of the same language (of all, where it
@@ -370,7 +366,7 @@ def verdicts(documents: DataFrame, common: dict[str, list[str]], least: float =
     tail = F.when(side < 0, F.col("left")).otherwise(F.col("right"))
     points = materialise(tails.select("grp", "stat", "value", "n", F.when(tail <= TAIL_MAX, -F.log(tail)).otherwise(0.0).alias("points")))
     rows = _texts(documents)
-    out = f"doc_id {dict(rows.dtypes)['doc_id']}, lang string, {_SCHEMA}, outlier double, natural_share double, is_prose boolean"
+    out = f"doc_id {dict(rows.dtypes)['doc_id']}, lang string, {_schema(describe)}, outlier double, natural_share double, is_prose boolean"
     named = [r.grp for r in languages.limit(LANGUAGES_MAX + 1).collect()]
     if len(named) <= LANGUAGES_MAX:
         known: dict[str, dict[str, dict[float, float]]] = {x: {} for x in (ALL, *named)}
@@ -378,39 +374,46 @@ def verdicts(documents: DataFrame, common: dict[str, list[str]], least: float =
             known[r.grp].setdefault(r.stat, {})[r.value] = r.points
         shared = documents.sparkSession.sparkContext.broadcast(known)
 
-        def look_up(pdf: pd.DataFrame, stats: list[tuple]) -> list[float]:
+        def look_up(batch: pa.RecordBatch, values: list[tuple]) -> list[float]:
             known = shared.value
-            return [_score(known[lang if lang in known else ALL], v) for lang, v in zip(pdf["lang"], stats, strict=True)]
+            return [_score(known[lang if lang in known else ALL], v) for lang, v in zip(batch.column("lang").to_pylist(), values, strict=True)]
 
-        return rows.mapInPandas(partial(_judge, common=common, least=least, score=look_up), out)
-    values = rows.mapInPandas(partial(_values, common=common), f"doc_id {dict(rows.dtypes)['doc_id']}, lang string, stat string, value double")
+        return rows.mapInArrow(partial(_judge, common=common, least=least, describe=describe, score=look_up), out)
+    values = rows.mapInArrow(partial(_values, common=common), f"doc_id {dict(rows.dtypes)['doc_id']}, lang string, stat string, value double")
     values = values.join(languages.select(F.col("grp").alias("lang"), "grp"), "lang", "left").withColumn("grp", F.coalesce("grp", F.lit(ALL)))
     values = materialise(values)
     scores = join_facts(values, points, ["grp", "stat", "value"], "n", values.count()).groupBy("doc_id").agg(F.sum("points").alias("outlier"))
-    return rows.join(scores, "doc_id").mapInPandas(partial(_judge, common=common, least=least, score=lambda pdf, _: list(pdf["outlier"])), out)
+    return rows.join(scores, "doc_id").mapInArrow(partial(_judge, common=common, least=least, describe=describe, score=lambda batch, _: batch.column("outlier").to_pylist()), out)
+
+
+def _batch(columns: list, types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = columns or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
 
 
-def _score(points: dict[str, dict[float, float]], stats: tuple) -> float:
-    return sum(points.get(s, {}).get(round(stats[i], DIGITS), 0.0) for s, i in _RANKED)
+def _score(points: dict[str, dict[float, float]], values: tuple) -> float:
+    return sum(points.get(s, {}).get(round(v, DIGITS), 0.0) for s, v in zip(TAILS, values, strict=True))
 
 
-def _values(batches: Iterator[pd.DataFrame], common: dict[str, list[str]]) -> Iterator[pd.DataFrame]:
+def _values(batches: Iterator[pa.RecordBatch], common: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
     judge = Judge(common)
-    for pdf in batches:
-        stats = [statistics(_lf(t), judge) for t in pdf["text"]]
-        rows = [(key, lang, s, round(v[i], DIGITS)) for key, lang, v in zip(pdf["doc_id"], pdf["lang"], stats, strict=True) for s, i in _RANKED]
-        yield pd.DataFrame(rows, columns=["doc_id", "lang", "stat", "value"])
+    for batch in batches:
+        ids, langs, texts = (batch.column(c) for c in ("doc_id", "lang", "text"))
+        values = [ranked(_lf(t), judge) for t in texts.to_pylist()]
+        k = len(TAILS)
+        at = pa.array([i for i in range(len(ids)) for _ in range(k)], pa.int32())
+        yield pa.RecordBatch.from_arrays([ids.take(at), langs.take(at), pa.array(list(TAILS) * len(ids), pa.string()), pa.array([round(x, DIGITS) for v in values for x in v], pa.float64())], names=["doc_id", "lang", "stat", "value"])
 
 
-def _judge(batches: Iterator[pd.DataFrame], common: dict[str, list[str]], least: float, score: Callable[[pd.DataFrame, list[tuple]], list[float]]) -> Iterator[pd.DataFrame]:
+def _judge(batches: Iterator[pa.RecordBatch], common: dict[str, list[str]], least: float, describe: bool, score: Callable[[pa.RecordBatch, list[tuple]], list[float]]) -> Iterator[pa.RecordBatch]:
     judge = Judge(common)
-    for pdf in batches:
-        texts = [_lf(t) for t in pdf["text"]]
-        stats = [statistics(t, judge) for t in texts]
-        scores = score(pdf, stats)
-        shares = [natural_share(t, judge) if x >= least or not v[0] else None for t, x, v in zip(texts, scores, stats, strict=True)]
-        out = pd.concat([pdf[["doc_id", "lang"]].reset_index(drop=True), pd.DataFrame(stats, columns=STATS)], axis=1)
-        out["outlier"] = [round(x, 6) for x in scores]
-        out["natural_share"] = pd.Series(shares, dtype="float64")
-        out["is_prose"] = [share is None or share >= 0.5 for share in shares]
-        yield out
+    types = {s: pa.int64() if s[:2] == "n_" else pa.float64() for s in (STATS if describe else TAILS)}
+    for batch in batches:
+        texts = [_lf(t) for t in batch.column("text").to_pylist()]
+        values = [ranked(t, judge) for t in texts]
+        scores = score(batch, values)
+        shares = [natural_share(t, judge) if x >= least or not t or t.isspace() else None for t, x in zip(texts, scores, strict=True)]
+        full = ((*described(t), *v) for t, v in zip(texts, values, strict=True)) if describe else values
+        stats = _batch([*zip(*full, strict=True)], types)
+        verdict = [pa.array([round(x, 6) for x in scores], pa.float64()), pa.array(shares, pa.float64()), pa.array([x is None or x >= 0.5 for x in shares], pa.bool_())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *stats.columns, *verdict], names=["doc_id", "lang", *types, "outlier", "natural_share", "is_prose"])

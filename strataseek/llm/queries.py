@@ -81,7 +81,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p10_quality(spark, sf_dir).where("NOT is_prose").select("doc_id").distinct()
+    words = quality.word_lists(table(spark, sf_dir, "common_words"))
+    return quality.verdicts(documents(spark, sf_dir), words, describe=False).where("NOT is_prose").select("doc_id").distinct()
 
 
 def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,12 +45,16 @@ def test_not_prose(text):
     assert share(text) < 0.4
 
 
+def stats(text):
+    return dict(zip(Q.STATS, (*Q.described(text), *Q.ranked(text, J)), strict=True))
+
+
 def test_statistics():
-    v = dict(zip(Q.STATS, Q.statistics("The cat sat. The cat sat.\nIs it 12?\n\n- a\n", J), strict=True))
+    v = stats("The cat sat. The cat sat.\nIs it 12?\n\n- a\n")
     assert (v["n_words"], v["n_lines"]) == (11, 3) and v["end_punct_share"] == 2 / 3 and v["repeated_share"] == 1 / 4 and v["digit_ratio"] == 2 / 29 and v["symbol_ratio"] == 4 / 29
     assert v["sentence_rate"] == 3 / 29 and v["short_line_share"] == 1 / 3 and v["common_share"] == 5 / 11
-    assert dict(zip(Q.STATS, Q.statistics("the of and so", J), strict=True))["wrong_order_share"] == 1.0
-    assert set(Q.statistics("", J)) == {0} and len(Q.statistics("\ud800 x", J)) == len(Q.STATS)
+    assert stats("the of and so")["wrong_order_share"] == 1.0 and stats("在月底这条笔记。")["n_words"] == 8
+    assert set(stats("").values()) == {0} == set(stats(" \n").values()) and len(stats("\ud800 x")) == len(Q.STATS)
 
 
 def test_tails_are_exact(spark):
@@ -96,13 +100,13 @@ def test_the_score_picks_what_is_read(spark):
 
 def test_scores_against_brute_force(spark):
     rows = corpus(spark).collect()
-    stats = {r.doc_id: dict(zip(Q.STATS, Q.statistics(r.text or "", J), strict=True)) for r in rows}
+    known = {r.doc_id: stats(r.text or "") for r in rows}
     lang = {r.doc_id: r.lang or "und" for r in rows}
     for r in Q.verdicts(corpus(spark), COMMON).collect():
         want = 0.0
         for s, side in Q.TAILS.items():
-            group = [round(stats[k][s], Q.DIGITS) for k in stats if lang[k] == r.lang or r.lang != "en"]
-            mine = round(stats[r.doc_id][s], Q.DIGITS)
+            group = [round(known[k][s], Q.DIGITS) for k in known if lang[k] == r.lang or r.lang != "en"]
+            mine = round(known[r.doc_id][s], Q.DIGITS)
             p = sum(x <= mine if side < 0 else x >= mine for x in group) / len(group)
             want += -math.log(p) if p <= Q.TAIL_MAX else 0.0
         assert math.isclose(r.outlier, want, abs_tol=1e-5)
