@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import math
+import re
+from collections.abc import Iterator
+from functools import reduce
+from operator import add, eq
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +37,28 @@ _VENDORED_TEXT = (
     r"(?i)\(c\) (?:the )?[\w .-]{1,40}authors\b|\bupstream (?:release|repository|version)\b|\bpart of the [\w .-]{1,40} project, version\b|\bcopyright (?:\(c\) )?\d{4}(?:-\d{4})? [\w .-]{1,40}contributors\b"
     r"|\bredistribution (?:and use|permitted)\b|\breleased under the [\w .-]{1,30} licen[cs]e\b|\blicensed under the (?:mit|apache|bsd|mozilla|isc|gnu)\b|/\*! [\w.-]+ v?\d+\.\d+|@license\b"
 )
-_OWN_TEXT = r"(?i)\bcopyright \d{4} the [\w .-]{1,40} team\b|\binternal use\b"
-
-#: Log-potential of equal labels of a file and its directory, and of a directory and its parent.
-FILE_TIE, DIR_TIE = 1.2, 0.7
-#: Log-potential of a directory for hand-written content before anything is known of it.
-DIR_PRIOR = 1.0
+_OWN_TEXT = r"(?i)\bcopyright (?:\(c\) )?\d{4}(?:-\d{4})? the [\w .-]{1,40} team\b|\binternal use\b|\ball rights reserved by\b"
+#: Code that writes or looks for such notices quotes them.
+_QUOTES_TEXT = r"(?i)[\"'`](?:do not edit|code generated|@generated|auto-?generated)\b[^\"'`\n]{0,60}[\"'`]"
+#: One of these stands in every notice; texts without them need no closer look.
+_HINTS = {
+    "generated": ("generated", "automatically", "machine-", "généré", "automatisch", "generado", "gerado", "自动生成", "自動生成"),
+    "vendored": ("authors", "upstream", "part of the", "contributors", "redistribution", "licen", "/*!"),
+    "own": ("copyright", "internal use", "all rights"),
+    "quotes": ("do not edit", "code generated", "@generated", "autogenerated", "auto-generated"),
+}
+_NOTICES = {k: re.compile(rx) for k, rx in (("generated", _GENERATED_TEXT), ("vendored", _VENDORED_TEXT), ("own", _OWN_TEXT), ("quotes", _QUOTES_TEXT))}
+
+# Evidence in log-odds against nothing known.
+ORDINARY, UNKNOWN, OWN, QUOTES = 2.0, 0.5, 4.0, 6.0
+NOTICE, STEADY, DENSE, DATA, LOCK, NAME, FOLDER, PLAIN_FOLDER = 12.0, 9.0, 9.0, 10.0, 14.0, 8.0, 20.0, 1.2
+#: How often a file has the label of its directory, by label of the directory; the other labels share the rest. Third-party
+#: and generated folders hold little else, one minified file or data blob says little about its neighbours.
+FILE_SAME = {"handwritten": 0.8, "generated": 0.95, "minified": 0.6, "vendored": 0.9, "blob": 0.4}
+#: The same for a directory and its parent.
+DIR_SAME = {"handwritten": 0.99, "generated": 0.97, "minified": 0.9, "vendored": 0.97, "blob": 0.9}
+#: Directories below this depth count as their ancestor at it.
+MAX_DEPTH = 32
 _COLS = [f"w_{x}" for x in LABELS]
 
 
@@ -53,26 +73,57 @@ def is_code(path: Column) -> Column:
     return clean.rlike(r"\.(?:" + "|".join(_CODE_EXT.split()) + r")$") & ~clean.rlike(r"\.(?:pem|key|csv|tsv|jsonl)$")
 
 
+_RUN = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|(?:\\x[0-9a-fA-F]{2}){10,}")
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
+_QUOTED = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`")
+_WORDS = re.compile(r"[^\W\d]\w*|-?\d[\d.]*")
+_SUMS = ("n_chars", "n_lines", "n_space", "n_digit", "n_literal", "n_same")
+_MAXIMA = ("longest", "says_generated", "says_vendored", "says_own", "says_quotes")
+
+
+def describe(text: str) -> tuple[int, ...]:
+    """_SUMS and _MAXIMA of one text; key blocks are left aside.
+
+    Characters, lines that are not blank, white space, digits, characters of
+    long unbroken literals (filler aside), lines shaped like the
+    line before, the longest line (filler aside), and flags for notices of generators, of third parties, of
+    the project itself, and for notices in quotes.
+    """
+    t = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
+    low = t.lower()
+    bare = _PEM.sub("", t) if "-----BEGIN" in t else t
+    raw = bare.encode("utf-8", "replace")
+    literal = 0
+    for m in _RUN.finditer(bare):
+        run = m.group(0)
+        if len(set(run)) > 8 or run[0] == "\\":
+            literal += len(run)
+    rows = bare.split("\n")
+    longest = max(len(x) if len(x) < 200 or len(set(x)) > 10 else 0 for x in rows)  # filler is not code
+    shapes = [y for x in _WORDS.sub("a", _QUOTED.sub("q", bare)).split("\n") if (y := x.strip())]
+    same = sum(map(eq, shapes, shapes[1:]))
+    says = [int(any(h in low for h in _HINTS[k]) and _NOTICES[k].search(t) is not None) for k in _NOTICES]
+    return (len(bare), sum(not x.isspace() for x in rows if x), len(raw) - len(raw.translate(None, b" \t\n\r\f\v")), len(raw) - len(raw.translate(None, b"0123456789")), literal, same, longest, *says)
+
+
 def text_evidence(chunks: DataFrame) -> DataFrame:
-    """What the chunks of a code file say, per file_id; computed on whole contents in the JVM, only numbers are shuffled.
+    """What the chunks of a code file say, per file_id: sums and maxima of ``describe`` over its chunks.
 
-    n_chars, n_lines, longest line, characters of white space, of digits and of
-    long unbroken literals, lines shaped like the line before, and flags for
-    notices of generators, of third parties and of the project itself.
+    Computed on whole contents next to the scan; only numbers are shuffled. Of
+    different rows of a chunk id the greatest by its numbers counts.
     """
-    c = chunks.where(is_code(F.col("rel_path")) & F.col("content").isNotNull())
-    lines = F.filter(F.split("content", r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
-    shape = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"[\"'`][^\"'`]*[\"'`]", "q"), r"[\p{L}_]\w*|-?\d[\d.]*", "a"))
-    size = lambda rx: F.length("content") - F.length(F.regexp_replace("content", rx, ""))
-    f = c.select(
-        "id", "file_id", F.length("content").alias("n_chars"), F.size(lines).alias("n_lines"), F.array_max(F.transform(F.split("content", r"\r\n|\r|\n"), F.length)).alias("longest"),
-        size(r"\s+").alias("n_space"), size(r"\d+").alias("n_digit"), size(r"[A-Za-z0-9+/]{40,}={0,2}|(?:\\x[0-9a-fA-F]{2}){10,}").alias("n_literal"), shape.alias("shape"),
-        F.col("content").rlike(_GENERATED_TEXT).cast("int").alias("says_generated"), F.col("content").rlike(_VENDORED_TEXT).cast("int").alias("says_vendored"), F.col("content").rlike(_OWN_TEXT).cast("int").alias("says_own"),
-    )
-    same = F.size(F.filter(F.arrays_zip(F.slice("shape", 2, F.greatest(F.lit(0), F.size("shape") - 1)).alias("a"), F.slice("shape", 1, F.greatest(F.lit(0), F.size("shape") - 1)).alias("b")), lambda z: z["a"] == z["b"]))
-    f = f.withColumn("n_same", F.when(F.size("shape") > 1, same).otherwise(0)).drop("shape").dropDuplicates(["id"])
-    sums = [F.sum(x).alias(x) for x in ("n_chars", "n_lines", "n_space", "n_digit", "n_literal", "n_same")]
-    return f.groupBy("file_id").agg(*sums, F.max("longest").alias("longest"), *(F.max(x).alias(x) for x in ("says_generated", "says_vendored", "says_own")))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [*zip(*map(describe, batch.column("content").to_pylist()), strict=True)] or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("file_id"), *(pa.array(v, pa.int64()) for v in values)], names=["id", "file_id", *names])
+
+    names = [*_SUMS, *_MAXIMA]
+    c = chunks.where(is_code(F.col("rel_path")) & F.col("content").isNotNull()).select("id", "file_id", "content")
+    kinds = dict(c.dtypes)
+    f = c.mapInArrow(measure, f"id {kinds['id']}, file_id {kinds['file_id']}, " + ", ".join(f"{x} long" for x in names))
+    f = f.groupBy("id").agg(F.max(F.struct("file_id", *names)).alias("x")).select("x.*")
+    return f.groupBy("file_id").agg(*(F.sum(x).alias(x) for x in _SUMS), *(F.max(x).alias(x) for x in _MAXIMA))
 
 
 def file_evidence(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -82,44 +133,49 @@ def file_evidence(files: DataFrame, chunks: DataFrame) -> DataFrame:
     f = f.select(F.col("id").alias("file_id"), F.coalesce("project_id", F.lit("")).alias("project_id"), clean.alias("path"), folder.alias("dir"), is_code(F.coalesce("rel_path", F.lit(""))).alias("eligible"))
     t = f.join(text_evidence(chunks), "file_id", "left")
     p = F.col("path")
-    hit = lambda cond, w: F.when(cond, F.lit(float(w))).otherwise(0.0)
+    hit = lambda cond, w: F.when(cond, F.lit(w)).otherwise(0.0)
     has = F.col("n_chars") > 0
+    says = lambda x: F.coalesce(F.col(f"says_{x}"), F.lit(0)) == 1
     program = ~p.rlike(r"\.(?:json5?|ipynb|ya?ml|toml|ini|cfg|conf|properties|xml|lock)$")
     steady = has & (F.col("n_lines") >= 5) & (F.col("n_same") >= 0.8 * (F.col("n_lines") - 1)) & program
     digits = F.try_divide("n_digit", "n_chars")
     literal = has & (F.col("n_literal") >= 0.5 * F.col("n_chars"))
     rows = (steady & (digits >= 0.14)) | (has & (digits >= 0.3) & program)
-    dense = has & (F.col("longest") >= F.when(program, 200).otherwise(500)) & (F.col("n_space") < 0.07 * F.col("n_chars")) & ~literal & ~rows
-    made = F.coalesce("says_generated", F.lit(0)) == 1
-    taken = F.coalesce("says_vendored", F.lit(0)) == 1
-    own = F.coalesce("says_own", F.lit(0)) == 1
-    odd = made | taken | literal | rows | steady | dense
+    dense = has & (F.col("longest") >= F.when(program, 200).otherwise(500)) & (F.col("n_space") < 0.07 * F.col("n_chars")) & (F.col("n_literal") < 0.5 * F.col("n_chars")) & ~rows
+    made, taken, own, quotes = says("generated"), says("vendored"), says("own"), says("quotes")
+    odd = F.coalesce(made | taken | literal | rows | steady | dense, F.lit(False))
     return t.select(
         "file_id", "project_id", "dir", "eligible",
-        (hit(has & ~F.coalesce(odd, F.lit(False)), 3) + hit(own & ~made, 4) + 0.5).alias("w_handwritten"),
-        (hit(p.rlike(_LOCK), 12) + hit(p.rlike(_GENERATED_NAME) & ~F.coalesce(has & ~odd, F.lit(False)), 5) + hit(made, 9) + hit(steady & ~rows, 6)).alias("w_generated"),
-        (hit(p.rlike(_MINIFIED_NAME), 6) + hit(dense, 6)).alias("w_minified"),
-        (hit(p.rlike(_VENDORED_NAME), 5) + hit(taken & ~own, 9)).alias("w_vendored"),
-        (hit(literal, 8) + hit(rows, 8)).alias("w_blob"),
+        (hit(has & ~odd, ORDINARY) + hit(own & ~made, OWN) + hit(quotes & ~made, QUOTES) + UNKNOWN).alias("w_handwritten"),
+        (hit(p.rlike(_LOCK), LOCK) + hit(p.rlike(_GENERATED_NAME), NAME) + hit(made, NOTICE) + hit(steady & ~rows, STEADY)).alias("w_generated"),
+        (hit(p.rlike(_MINIFIED_NAME), NAME) + hit(dense, DENSE)).alias("w_minified"),
+        (hit(p.rlike(_VENDORED_NAME), NAME) + hit(taken & ~own, NOTICE)).alias("w_vendored"),
+        (hit(literal, DATA) + hit(rows, DATA)).alias("w_blob"),
     )
 
 
-def _with_messages(df: DataFrame, tie: float, cols: list[str], out: list[str]) -> DataFrame:
-    """Adds sum-product messages through a Potts potential: log(sum_x e^x + (e^tie - 1) e^own), relative to the first.
+def compatibility(same: dict[str, float]) -> list[list[float]]:
+    """P(label of the child | label of the parent), a row per label of the parent."""
+    k = len(LABELS)
+    return [[same[y] if x == y else (1 - same[y]) / (k - 1) for x in LABELS] for y in LABELS]
+
+
+def _with_messages(df: DataFrame, psi: list[list[float]], cols: list[str], out: list[str]) -> DataFrame:
+    """Adds sum-product messages: out[i] = log sum_j psi[i][j] exp(cols[j]), relative to the first.
 
     In steps of plain columns, so that no step repeats the expressions of the one before.
     """
     df = df.withColumn("__top", F.greatest(*cols))
     df = df.withColumns({f"__e{i}": F.exp(F.col(c) - F.col("__top")) for i, c in enumerate(cols)})
-    df = df.withColumn("__sum", sum((F.col(f"__e{i}") for i in range(1, len(cols))), F.col("__e0")))
-    df = df.withColumns({f"__l{i}": F.log(F.col("__sum") + (math.exp(tie) - 1) * F.col(f"__e{i}")) for i in range(len(cols))})
+    df = df.withColumns({f"__l{i}": F.log(reduce(add, (F.col(f"__e{j}") * w for j, w in enumerate(row)))) for i, row in enumerate(psi)})
     df = df.withColumns({o: F.col(f"__l{i}") - F.col("__l0") for i, o in enumerate(out)})
-    return df.drop("__top", "__sum", *(f"__{x}{i}" for x in "el" for i in range(len(cols))))
+    return df.drop("__top", *(f"__{x}{i}" for x in "el" for i in range(len(cols))))
 
 
 def _directory_evidence(name: Column) -> list[Column]:
     zero = F.lit(0.0)
-    return [F.lit(DIR_PRIOR), F.when(name.rlike(_GENERATED_DIR), 4.0).otherwise(zero), zero, F.when(name.rlike(_VENDORED_DIR), 4.0).otherwise(zero), zero]
+    named = name.rlike(_GENERATED_DIR) | name.rlike(_VENDORED_DIR)
+    return [F.when(named, zero).otherwise(PLAIN_FOLDER), F.when(name.rlike(_GENERATED_DIR), FOLDER).otherwise(zero), zero, F.when(name.rlike(_VENDORED_DIR), FOLDER).otherwise(zero), zero]
 
 
 def propagate(evidence: DataFrame) -> DataFrame:
@@ -129,13 +185,16 @@ def propagate(evidence: DataFrame) -> DataFrame:
     are directories and files. Messages of the children are summed per
     directory with partial sums on the map side, level by level from the
     deepest; on the way down each node gets what the others know. The number
-    of passes is the depth of the deepest path. A directory that holds a large
+    of passes is the depth of the deepest path, at most MAX_DEPTH. A directory that holds a large
     part of all files meets its files by broadcast.
     """
     # Filters are pushed through projections by repeating their expressions, so each message is written before it is used.
     sent_cols, rest_cols, down_cols = ([f"{p}_{x}" for x in LABELS] for p in ("m", "r", "d"))
-    e = evidence.withColumn("depth", F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/"))))
-    e = materialise(_with_messages(e, FILE_TIE, _COLS, sent_cols))
+    up_file, up_dir = compatibility(FILE_SAME), compatibility(DIR_SAME)
+    down_file, down_dir = ([list(c) for c in zip(*m, strict=True)] for m in (up_file, up_dir))
+    e = evidence.withColumn("dir", F.substring_index("dir", "/", MAX_DEPTH))
+    e = e.withColumn("depth", F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/"))))
+    e = materialise(_with_messages(e, up_file, _COLS, sent_cols))
     key = ["project_id", "dir"]
     deepest = e.agg(F.max("depth")).first()[0]
     if deepest is None:
@@ -152,7 +211,7 @@ def propagate(evidence: DataFrame) -> DataFrame:
         node = below.groupBy(*key).agg(F.sum("n_files").alias("n_files"), *(F.sum(c).alias(c) for c in _COLS))
         name = F.regexp_extract("dir", r"([^/]*)$", 1)
         node = node.select(*key, "n_files", *((F.col(c) + x).alias(c) for c, x in zip(_COLS, _directory_evidence(name), strict=True)))
-        up[d] = materialise(_with_messages(node, DIR_TIE, _COLS, sent_cols))
+        up[d] = materialise(_with_messages(node, up_dir, _COLS, sent_cols))
     beliefs = up[0].select(*key, "n_files", *_COLS)
     done = [beliefs]
     for d in range(1, deepest + 1):
@@ -160,7 +219,7 @@ def propagate(evidence: DataFrame) -> DataFrame:
         above = beliefs.select("project_id", F.col("dir").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in _COLS))
         rows = up[d].withColumn("parent", parent).join(above, ["project_id", "parent"])
         rows = rows.withColumns({r: F.col(f"p_{c}") - F.col(m) for r, c, m in zip(rest_cols, _COLS, sent_cols, strict=True)})
-        rows = _with_messages(rows, DIR_TIE, rest_cols, down_cols)
+        rows = _with_messages(rows, down_dir, rest_cols, down_cols)
         beliefs = materialise(rows.select(*key, "n_files", *((F.col(c) + F.col(m)).alias(c) for c, m in zip(_COLS, down_cols, strict=True))))
         done.append(beliefs)
     dirs = done[0]
@@ -169,7 +228,7 @@ def propagate(evidence: DataFrame) -> DataFrame:
     dirs = materialise(dirs.select(*key, "n_files", *(F.col(c).alias(f"p_{c}") for c in _COLS)))
     joined = join_facts(e.drop("depth"), dirs, key, "n_files", e.count())
     joined = joined.withColumns({r: F.col(f"p_{c}") - F.col(m) for r, c, m in zip(rest_cols, _COLS, sent_cols, strict=True)})
-    joined = _with_messages(joined, FILE_TIE, rest_cols, down_cols)
+    joined = _with_messages(joined, down_file, rest_cols, down_cols)
     return materialise(joined.select(*evidence.columns, *((F.col(c) + F.col(m)).alias(f"b_{x}") for x, c, m in zip(LABELS, _COLS, down_cols, strict=True))))
 
 
