@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 REPEATED_MAX = 500_000
 
 
+def _repeated(df: DataFrame, key: str) -> DataFrame | None:
+    """The keys of more than one row, broadcast where they are few; None if there are none."""
+    keys = df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col(key).isNotNull() & (F.col("__n") > 1)).select(key)
+    n = keys.limit(REPEATED_MAX + 1).count()
+    return None if n == 0 else F.broadcast(keys) if n <= REPEATED_MAX else keys
+
+
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
     """One row per key: of rows with the same key the greatest by the other columns; rows with a null key stay.
 
@@ -16,11 +23,21 @@ def one_per_key(df: DataFrame, key: str) -> DataFrame:
     themselves, often wide, only those of repeated keys are.
     """
     rest = [c for c in df.columns if c != key]
-    repeated = df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col(key).isNotNull() & (F.col("__n") > 1)).select(key)
-    n = repeated.limit(REPEATED_MAX + 1).count()
-    if n == 0:
+    repeated = _repeated(df, key)
+    if repeated is None:
         return df
-    if n <= REPEATED_MAX:
-        repeated = F.broadcast(repeated)
     kept = df.join(repeated, key, "left_semi").groupBy(key).agg(F.max(F.struct(*rest)).alias("__row"))
     return df.join(repeated, key, "left_anti").unionByName(kept.select(key, *(F.col("__row")[c].alias(c) for c in rest)))
+
+
+def distinct_by_key(df: DataFrame, key: str) -> DataFrame:
+    """Distinct rows, where equal rows share a key; rows with a null key are compared with each other.
+
+    As in ``one_per_key`` only rows of repeated keys are shuffled.
+    """
+    repeated = _repeated(df, key)
+    bare = df.where(F.col(key).isNull()).distinct()
+    known = df.where(F.col(key).isNotNull())
+    if repeated is None:
+        return known.unionByName(bare)
+    return known.join(repeated, key, "left_anti").unionByName(known.join(repeated, key, "left_semi").distinct()).unionByName(bare)
