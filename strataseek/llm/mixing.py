@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,33 +21,38 @@ _BUCKETS = 4096
 
 
 def subset_sum(items: list[tuple[int, int]], budget: int) -> dict[int, int]:
-    """How many of each length to take so that the sum comes as near to ``budget`` as possible without passing it.
+    """How many of each length to take so that the sum comes as near to ``budget`` as possible, from either side.
 
     ``items``: length and number available. Bounded knapsack on a bit set:
     numbers are split into powers of two, and each sum remembers the part that
-    reached it first. Earlier items are preferred.
+    reached it first. Earlier items are preferred; of two sums equally near the
+    smaller one is taken. A sum beyond the budget is at most one item beyond.
     """
-    reach, full = 1, (1 << (budget + 1)) - 1
-    first: dict[int, tuple[int, int]] = {}
+    items = [(x, n) for x, n in items if x > 0 and n > 0]
+    top = budget + max((x for x, _ in items), default=0)
+    reach, full = 1, (1 << (top + 1)) - 1
+    length_of, number_of = np.zeros(top + 1, dtype=np.int64), np.zeros(top + 1, dtype=np.int64)
     for length, n in items:
-        n = min(n, budget // length) if length else 0
+        n = min(n, top // length)
         k = 1
         while n > 0 and not reach >> budget & 1:
             k = min(k, n)
             new = (reach << (length * k)) & full & ~reach
             reach |= new
-            while new:
-                low = new & -new
-                first[low.bit_length() - 1] = (length, k)
-                new ^= low
+            bits = np.unpackbits(np.frombuffer(new.to_bytes(top // 8 + 1, "little"), dtype=np.uint8), bitorder="little")
+            at = np.flatnonzero(bits)
+            length_of[at], number_of[at] = length, k
             n -= k
             k *= 2
         if reach >> budget & 1:
             break
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    over = reach >> (budget + 1)
+    above = budget + (over & -over).bit_length() if over else None
+    at = above if above is not None and above - budget < budget - below else below
     out: dict[int, int] = {}
     while at:
-        length, k = first[at]
+        length, k = int(length_of[at]), int(number_of[at])
         out[length] = out.get(length, 0) + k
         at -= length * k
     return out
@@ -56,7 +63,8 @@ def plan_source(lengths: list[tuple[int, int]], budget: int, max_repeats: int, s
 
     Whole passes over the source come first. The rest of the budget is spread
     over all lengths in proportion to their documents, then one document per
-    length in seeded order, until EXACT_TOKENS are left for the subset sum.
+    length in seeded order, until EXACT_TOKENS are left for the subset sum,
+    which may pass the budget by part of a document if that is nearer.
     """
     size = sum(x * n for x, n in lengths)
     passes = min(max_repeats, budget // size) if size else 0
@@ -77,7 +85,7 @@ def plan_source(lengths: list[tuple[int, int]], budget: int, max_repeats: int, s
             more = min(n - extra[x], max(0, rest - EXACT_TOKENS) // x)
             extra[x] += more
             rest -= more * x
-        for x, k in subset_sum([(x, n - extra[x]) for x, n in mixed if n > extra[x]], min(rest, EXACT_TOKENS * 4)).items():
+        for x, k in subset_sum([(x, n - extra[x]) for x, n in mixed if n > extra[x]], rest).items():
             extra[x] += k
     return {x: (passes, extra[x]) for x, _ in lengths}
 
@@ -89,13 +97,13 @@ def budgets(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total:
     others in proportion. With ``total`` that many tokens are aimed at, and a
     source gives what its repeats allow.
     """
-    able = {s: (share, k) for s, (share, k) in targets.items() if share > 0 and k > 0 and sizes.get(s, 0) > 0}
-    weight = sum(share for share, _ in able.values())
+    able = {s: (Fraction(share), k) for s, (share, k) in targets.items() if share > 0 and k > 0 and sizes.get(s, 0) > 0}
     if not able:
         return {}
-    most = min(k * sizes[s] * weight / share for s, (share, k) in able.items())
-    whole = int(most + 1e-9) if total is None else total
-    return {s: min(k * sizes[s], int(whole * share / weight + 1e-9)) for s, (share, k) in able.items()}
+    weight = sum(share for share, _ in able.values())
+    # exact fractions, so that the source whose repeats bind gets all of them
+    scale = min(k * sizes[s] / share for s, (share, k) in able.items()) if total is None else total / weight
+    return {s: min(k * sizes[s], round(scale * share)) for s, (share, k) in able.items()}
 
 
 def _targets(mix_targets: DataFrame) -> dict[str, tuple[float, int]]:

@@ -15,7 +15,7 @@ from strataseek.runtime import materialise
 #: Items packed together; a partition of this size leaves next to nothing unused and fits any worker.
 PARTITION_ITEMS = 20_000
 #: Packings after the first one, each over the partitions that still have a gap.
-EXCHANGES = 2
+EXCHANGES = 4
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -84,7 +84,7 @@ def _packed(items: DataFrame, capacity: int, groups: int, round_no: int) -> Data
     return spread.groupBy("part").applyInPandas(pack, f"doc_id {dict(items.dtypes)['doc_id']}, piece_no long, n_tokens long, part long, bin long, n_bins long, bound long")
 
 
-def pack(sizes: DataFrame, capacity: int, partition_items: int = PARTITION_ITEMS) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, partition_items: int = PARTITION_ITEMS, exchanges: int = EXCHANGES) -> DataFrame:
     """Containers of ``capacity``: doc_id, piece_no (from 0), n_tokens, container, position (from 1), certified.
 
     ``sizes``: doc_id (unique), n_tokens. A document larger than the capacity
@@ -93,7 +93,8 @@ def pack(sizes: DataFrame, capacity: int, partition_items: int = PARTITION_ITEMS
     decreasing; a partition whose containers meet the lower bound is certified
     optimal and done. The partially filled containers of the others are
     emptied, their documents exchanged by a new hash and packed again, up to
-    EXCHANGES times; a packing is kept only if it needs no more containers.
+    ``exchanges`` times; a packing is kept only if it needs fewer containers,
+    and the first that does not ends the exchange.
     Empty documents take no room. No rows give no containers; null sizes count
     as empty.
     """
@@ -108,20 +109,20 @@ def pack(sizes: DataFrame, capacity: int, partition_items: int = PARTITION_ITEMS
     total = rest.count()
     if total:
         now = materialise(_packed(rest, capacity, -(-total // partition_items), 0))
-        for r in range(EXCHANGES + 1):
+        for r in range(exchanges + 1):
             done.append(named(now.where("n_bins = bound"), r, True))
             gap = now.where("n_bins > bound")
             fill = gap.groupBy("part", "bin").agg(F.sum("n_tokens").alias("fill"))
             open_bins = fill.where(F.col("fill") < capacity)
             stats = open_bins.agg(F.count("*").alias("bins")).first()
-            if not stats.bins or r == EXCHANGES:
+            if not stats.bins or r == exchanges:
                 done.append(named(gap, r, False))
                 break
             keyed = gap.join(open_bins.select("part", "bin", F.lit(True).alias("open")), ["part", "bin"], "left")
             loose = materialise(keyed.where("open").select("doc_id", "piece_no", "n_tokens"))
             again = materialise(_packed(loose, capacity, -(-loose.count() // partition_items), r + 1))
             bins = again.groupBy("part").agg(F.max("n_bins").alias("n")).agg(F.sum("n")).first()[0]
-            if bins > stats.bins:
+            if bins >= stats.bins:
                 done.append(named(gap, r, False))
                 break
             done.append(named(keyed.where("open IS NULL"), r, False))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataseek.functions.text import line_count
+from strataseek.operators.dedup import distinct_by_key
 
 _LINE_END = re.compile(r"\r\n|\r|\n")
 #: Separators from the strongest to the weakest; a cut lies at the end of a match. Characters come last.
@@ -100,10 +101,11 @@ def split_oversized(chunks: DataFrame, limits: dict[str, int]) -> DataFrame:
 
     ``chunks``: id, content, line_start. Sizes are tested in the JVM; only
     texts beyond a limit go to Python, the others pass as one piece. Repeated
-    rows give their pieces once; a null or empty content gives none; a null
+    rows give their pieces once (only rows whose id is repeated are compared,
+    different ones give the pieces of each); a null or empty content gives none; a null
     line_start counts as 1; other columns are ignored.
     """
-    c = chunks.select(F.col("id").alias("chunk_id"), "content", F.coalesce("line_start", F.lit(1)).alias("first"))
+    c = distinct_by_key(chunks.select(F.col("id").alias("chunk_id"), "content", F.coalesce("line_start", F.lit(1)).alias("first")), "chunk_id")
     c = c.where("content IS NOT NULL AND content <> ''").withColumn("n_lines", line_count(F.col("content")))
     over = (F.length("content") > limits["max_chars"]) | (F.col("n_lines") > limits["max_lines"])
     whole = c.where(~over).select("chunk_id", F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).cast("long").alias("char_start"), F.length("content").cast("long").alias("char_end"), F.col("first").cast("long").alias("line_start"), (F.col("first") + F.col("n_lines") - 1).cast("long").alias("line_end"), "content")
@@ -118,4 +120,4 @@ def split_oversized(chunks: DataFrame, limits: dict[str, int]) -> DataFrame:
                 )
 
     cuts = c.where(over).select("chunk_id", "first", "content").mapInPandas(cut, f"chunk_id {dict(c.dtypes)['chunk_id']}, piece_no int, n_pieces int, char_start long, char_end long, line_start long, line_end long, content string")
-    return whole.unionByName(cuts.distinct())
+    return whole.unionByName(cuts)

@@ -69,5 +69,8 @@ def test_spark(spark):
     assert [(r.n_pieces, r.line_start, r.line_end) for r in by[1]] == [(1, 10, 14)]
     assert [len(by[k]) for k in (4, 5)] == [0, 0] and by[2][0].line_start == 5 and by[2][-1].line_end == 16
     assert len({r.piece_no for r in by[2]}) == len(by[2]) > 1 and all(len(r.content) <= 40 for r in out)
+    assert split_oversized(df.union(df), limits).count() == len(out) == split_oversized(df.union(df), limits).distinct().count()
+    other = split_oversized(df.union(df.where("id = 1").selectExpr("id", "'zz' AS content", "line_start", "piece_no")), limits)
+    assert sorted(r.content for r in other.where("chunk_id = 1").collect()) == ["a\nb\r\nc\rd\ne\n", "zz"]
     assert len(by[3]) == 3 and by[3][0].line_start == 1 and len(by[6]) == 2
     assert split_oversized(df.where("id = 9"), limits).count() == 0
