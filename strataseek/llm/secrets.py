@@ -12,6 +12,8 @@ from urllib.parse import unquote_to_bytes
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from strataseek.operators.dedup import distinct_by_key
+
 MASK = "[REDACTED]"
 
 # Shapes of tokens that providers document.
@@ -49,7 +51,7 @@ _CORES = ("pass", "pwd", "pw", "secret", "token", "bearer", "cred", "login", "au
 _REST = re.compile(r"(?:word|wort|wd|phrase|code|w|ed|ential|na|ña)?s?(?:[_-]?(?:value|text|string|prod|dev|live|staging|main|default|\d{1,2}))?(?![A-Za-z0-9_-])")
 _KEY_OF = re.compile(r"(?:api|access|private|secret|signing|encryption|auth|master|account|deploy)[_-]?$")
 _PLURAL = re.compile(r"(?:tokens|keys|pw[sd]s)$")
-_BEFORE = re.compile(r"[A-Za-z0-9_.-]*$")
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 _VALUE = re.compile(
     r"[\"']?(?:\s*\]|\s*\))?(?:\s*:\s*(?:string|str|String|&str|const char ?\*))?\s*(?::=|=>|==?|:|\s(?=['\"]))\s*"
     r"([rbuf]?\"\"\"[^\"]*\"\"\"|[rbuRBU]?\"(?:[^\"\\\r\n]|\\.)*\"|[rbuRBU]?'(?:[^'\\\r\n]|\\.)*'|`[^`\r\n]*`|[^\s,;\"'`]+)"
@@ -58,7 +60,7 @@ _TALK = (
     "password", "passwort", "kennwort", "passphrase", "passcode", "mot de passe", "contrase", "clave", "secret", "token", "api key", "api-key", "api-schlüssel", "clé d'api",
     "log in", "login", "sign in", "anmelden", "einloggen", "connexion", "zugangsdaten", "credentials", "identifiants", "密码", "口令", "密钥", "令牌", "登录",
 )
-_TALK_VALUE = re.compile(r"(?:[:：/]|\b(?:is|was|lautet|ist|est|es|son|sont|use|with|mit|avec|con|as|to|auf|à)\b|是|为|,|，)\s*[\"'`“«(]?([^\s\"'`“”«»，。；,;]{6,})")
+_TALK_VALUE = re.compile(r"(?:[:：/]|\b(?:is|was|lautet|ist|est|es|son|sont|use|type|enter|give|try|with|mit|avec|con|as|to|auf|à|gib|tippe|nimm|nutze|tape|tapez|saisir|saisissez|entrez|utilisez|escribe|escriba|introduce|teclea|usa|use)\b|是|为|输入|使用|用|,|，)\s*[\"'`“«(]?([^\s\"'`“”«»，。；,;]{6,})")
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:(?:your|my|the|some|any|new|old|insert|enter|put|add|set|replace|example|sample|dummy|fake|test|demo|default|placeholder|change)[_\- .]?.*|"
     r"user(?:name)?|pass(?:word|wd|phrase)?|pwd|secret|token|key|api[_-]?key|host|port|value|string|none|null|nil|undefined|true|false|yes|no|todo|tbd|n/?a|redacted|removed|hidden|masked|empty|unset|required|optional|changeme|"
@@ -68,6 +70,11 @@ _LOOKUP = re.compile(
     r"(?i)^(?:[$%@&!<{\[(*]|ref\+|vault:|secret(?:s|ref)?[:.]|env[:.(\[]|env$|arn:|ssm:|keyring|file:|/run/secrets|process\.env|os\.|config[.\[(]|settings[.\[]|self\.|this\.|ctx\.|args\.|opts?\.|params?\.|get[A-Za-z_]*\(|[A-Za-z_][\w.]*[(\[])|\$\{|\{\{|%\(|<[A-Za-z _-]+>|%[sdv](?![A-Za-z0-9])"
 )
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_UPPER, _LOWER = re.compile(r"[A-Z]"), re.compile(r"[a-z]")
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f]")
+#: Stretches of readable bytes between others; shorter ones arise by chance.
+_READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
+_TAIL = re.compile(r"(?:[ \t]*[\"'#/*>|+]*[ \t]*[A-Za-z0-9+/=]{1,80}[\"',+\\]*[ \t]*(?:\\n[\"',+]*)?(?:\r\n|\r|\n))+[ \t]*[\"'#/*>|+]*[ \t]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _HEX = re.compile(r"(?:0x|\\x)?[0-9A-Fa-f]{24,}")
 _PERCENT = re.compile(r"(?:[A-Za-z0-9._~+*!-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9._~+*!-]*")
 _PERCENT_BYTE = re.compile(r"%[0-9A-Fa-f]{2}")
@@ -130,7 +137,7 @@ def _literal(v: str, ext: str, name: str) -> str | None:
         v = v[m.end() : -len(m.group(1))] if v.endswith(m.group(1)) else v[m.end() :]
     else:
         v = v.rstrip(".,;)]}")
-    if not 5 < len(v) <= 4096 or re.search(r"\s", v.strip()) or _PLACEHOLDER.match(v) or _LOOKUP.search(v):
+    if len(v) < 6 or re.search(r"\s", v.strip()) or _PLACEHOLDER.match(v) or _LOOKUP.search(v):
         return None
     if re.fullmatch(r"[*xX.•\-_#]+.{0,4}|.{0,4}[*•]{3,}.{0,4}", v) or len(set(v)) < 4:
         return None
@@ -210,11 +217,16 @@ def _plain(text: str, ext: str) -> list[tuple[int, int, str]]:
                     out.append((m.start(2), m.end(2), "token"))
     for core in _CORES:
         at = low.find(core)
+        begin = known = 0  # the name that ends at ``known`` begins at ``begin``
         while at >= 0:
             rest = _REST.match(low, at + len(core))
             m = rest and _VALUE.match(text, rest.end())
             if m:
-                before = _BEFORE.search(text, max(0, at - 64), at).group(0)
+                i = at
+                while i > known and text[i - 1] in _NAME:
+                    i -= 1
+                begin, known = (begin if i == known and known else i), at
+                before = text[begin:at]
                 name = before + text[at : rest.end()]
                 if re.match(r"[A-Za-z_]", name) and "public" not in name.lower() and not _PLURAL.search(name.lower()) and (core != "key" or _KEY_OF.search(before.lower())):
                     v = _literal(m.group(1), ext, name)
@@ -229,7 +241,10 @@ def _plain(text: str, ext: str) -> list[tuple[int, int, str]]:
                 end = at + len(word)
                 if not (word.isascii() and (re.match(r"\w", low[at - 1 : at]) or word != "contrase" and re.match(r"\w", low[end : end + 1]))):
                     eol = _LINES.search(text, end)
-                    for x in _TALK_VALUE.finditer(text, end, min(eol.start() if eol else len(text), end + 160)):
+                    # what follows the next mention is looked at from there
+                    again = low.find(word, end)
+                    stop = min(eol.start() if eol else len(text), again if again >= 0 else len(text))
+                    for x in _TALK_VALUE.finditer(text, end, stop):
                         v = _spoken(x.group(1))
                         if v:
                             x = text.index(v, x.start(1))
@@ -238,59 +253,81 @@ def _plain(text: str, ext: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _decodings(text: str) -> Iterator[tuple[int, int, bytes]]:
-    """Encoded literals of a text with what they decode to."""
+def _decodings(text: str) -> Iterator[tuple[int, int, bytes, int]]:
+    """Encoded literals of a text as (start, end, what they decode to, characters for three bytes).
+
+    The last is 4 for base64, whose parts can be told, 0 for literals that
+    stand or fall as a whole. Signs of base64 are also signs of paths and
+    names, so a run may begin before the literal does: each of its four
+    alignments is decoded.
+    """
     longest = 0
     for m in _RUN.finditer(text):
-        s = m.group(0)
-        longest = max(longest, len(s))
-        body = s.rstrip("=")
-        if len(body) % 4 == 1 or not re.search(r"[A-Z]", body[:64]) or not re.search(r"[a-z]", body[:64]):
+        body = m.group(0).rstrip("=")
+        longest = max(longest, len(body))
+        if not _UPPER.search(body) or not _LOWER.search(body):
             continue
-        try:
-            head = base64.b64decode(body[:24], altchars=b"-_" if "-" in s or "_" in s else None)
-            # text or a key container shows in the first bytes; most runs are neither
-            if head[:1] == b"\x30" or head.startswith(b"openssh") or all(b >= 0x20 or b in b"\t\r\n" for b in head):
-                yield m.start(), m.end(), base64.b64decode(body + "=" * (-len(body) % 4), altchars=b"-_" if "-" in s or "_" in s else None)
-        except (binascii.Error, ValueError):
-            pass
+        alt = b"-_" if "-" in body or "_" in body else None
+        for shift in range(4):
+            part = body[shift:]
+            if len(part) % 4 == 1:
+                part = part[:-1]
+            try:
+                yield m.start() + shift, m.end(), base64.b64decode(part + "=" * (-len(part) % 4), altchars=alt), 4
+            except (binascii.Error, ValueError):
+                break
     for m in _HEX.finditer(text):
         s = m.group(0).removeprefix("0x").removeprefix("\\x")
         if len(s) % 2 == 0:
-            yield m.start(), m.end(), bytes.fromhex(s)
+            yield m.start(), m.end(), bytes.fromhex(s), 0
     if "%" in text and _PERCENT_BYTE.search(text):
         for m in _PERCENT.finditer(text):
-            yield m.start(), m.end(), unquote_to_bytes(m.group(0))
+            yield m.start(), m.end(), unquote_to_bytes(m.group(0)), 0
     if len(_ESCAPE.findall(text)) > 2:
         for m in _ESCAPED.finditer(text):
             s = _ESCAPE.sub(lambda x: chr(int(x[1] or x[2] or x[4], 16) if x[1] or x[2] or x[4] else int(x[3], 8) if x[3] else int(x[5])), m.group(0))
-            yield m.start(), m.end(), s.encode("utf-8", "surrogatepass")
+            yield m.start(), m.end(), s.encode("utf-8", "surrogatepass"), 0
     for m in _BLOCK.finditer(text) if longest >= 40 else ():
         joined = re.sub(r"[^A-Za-z0-9+/]", "", re.sub(r"(?m)^[ \t]*[rb]?[\"']?|[\"',+\\ \t]+$", "", m.group(0)))
         try:
-            yield m.start(), m.end(), base64.b64decode(joined[: len(joined) // 4 * 4])
+            yield m.start(), m.end(), base64.b64decode(joined[: len(joined) // 4 * 4]), 0
         except (binascii.Error, ValueError):
             pass
 
 
+def _texts(data: bytes) -> Iterator[tuple[int, int, str]]:
+    """What can be read in decoded bytes: all of it where it is text, else its readable stretches, with their place."""
+    try:
+        inner = data.decode("utf-8")
+        if not _CONTROL.search(inner):
+            yield 0, len(data), inner
+            return
+    except UnicodeDecodeError:
+        pass
+    for m in _READABLE.finditer(data):
+        inner = m.group(0).decode("ascii")
+        if len(inner) >= 20 or sum(map(str.isalnum, inner)) * 10 >= len(inner) * 7:  # chance does not prefer letters
+            yield m.start(), m.end(), inner
+
+
 def find_secrets(text: str, ext: str = "") -> list[tuple[int, int, str]]:
     """Secrets of a text as disjoint (start, end, kind) in order; ``ext`` is the extension of its file.
 
     Encoded literals are decoded, layer by layer as long as that gives text,
     and searched again; a key container among them counts by its binary
-    grammar. A secret inside an encoded literal is reported as that literal.
+    grammar. A secret inside an encoded literal is reported as that literal,
+    or as its part from the first to the last readable byte where what
+    surrounds it is not text.
     """
     spans = _plain(text, ext)
-    for a, b, data in _decodings(text):
+    for a, b, data, unit in _decodings(text):
         if is_key_container(data):
             spans.append((a, b, "private_key"))
             continue
-        try:
-            inner = data.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if len(inner) < len(text[a:b]) and not re.search(r"[\x00-\x08\x0e-\x1f]", inner) and find_secrets(inner, ""):
-            spans.append((a, b, "encoded"))
+        for p, q, inner in _texts(data):
+            if len(inner) < b - a and find_secrets(inner, ""):
+                part = unit and (p > 0 or q < len(data))
+                spans.append((a + p // 3 * unit, min(b, a + -(-q // 3) * unit), "encoded") if part else (a, b, "encoded"))
     spans.sort(key=lambda s: (s[0], -s[1]))
     out: list[tuple[int, int, str]] = []
     for a, b, kind in spans:
@@ -302,6 +339,12 @@ def find_secrets(text: str, ext: str = "") -> list[tuple[int, int, str]]:
     return out
 
 
+def key_tail(text: str) -> int:
+    """End of a private key whose beginning stands in the chunk before: key lines from the start on, and the end mark."""
+    m = _TAIL.match(text)
+    return m.end() if m else 0
+
+
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     """The text with each span replaced; line ends inside a span stay, so lines keep their numbers."""
     out, at = [], 0
@@ -348,15 +391,23 @@ def secret_lines(chunks: DataFrame) -> DataFrame:
 
 
 def redacted(chunks: DataFrame) -> DataFrame:
-    """chunk_id, content (redacted), n_secrets of the chunks with secrets; repeated rows count once."""
+    """chunk_id, content (redacted), n_secrets of the chunks with secrets; repeated rows count once.
+
+    The rest of a private key that begins in the chunk before is redacted too,
+    though it is no line of ``secret_lines``.
+    """
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for key, path, text in zip(pdf["id"], pdf["rel_path"], pdf["content"], strict=True):
                 spans = find_secrets(text, _extension(path))
+                tail = key_tail(text)
+                if tail:
+                    spans = [(0, tail, "private_key"), *(x for x in spans if x[0] >= tail)]
                 if spans:
                     rows.append((key, redact(text, spans), len(spans)))
             yield pd.DataFrame(rows, columns=["chunk_id", "content", "n_secrets"])
 
-    return _searched(chunks).mapInPandas(clean, f"chunk_id {dict(chunks.dtypes)['id']}, content string, n_secrets long").distinct()
+    rows = distinct_by_key(_searched(chunks), "id")
+    return rows.mapInPandas(clean, f"chunk_id {dict(chunks.dtypes)['id']}, content string, n_secrets long")
