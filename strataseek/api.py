@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,12 +17,13 @@ from pyspark.sql import functions as F
 from strataseek import cursors
 from strataseek.errors import GenerationConflict, NotFound
 from strataseek.functions import text as T
+from strataseek.operators import fulltext as X
 from strataseek.operators import graph as G
 from strataseek.operators import ranking as R
 from strataseek.operators import versioning as V
 from strataseek.sources import files
 from strataseek.store import SCHEMAS, Store, Transaction
-from strataseek.streaming.ingest import append_texts
+from strataseek.streaming.ingest import append_evidence, append_texts, index_texts
 
 #: Fields of a compact result.
 COMPACT = ["kind", "id", "project_id", "rel_path", "score", "snippet", "snippet_start", "line_start", "line_end"]
@@ -89,14 +91,12 @@ class KnowledgeBase:
             found, actions = self.discover(project_id)
             fresh = found.join(actions.where("action NOT IN ('unchanged', 'tombstone', 'renamed_away')").select("path_key", "action"), "path_key")
             fresh = fresh.withColumn("version_id", F.sha2(F.concat_ws("\x1f", F.lit(project_id), "path_key", F.coalesce("sha256", F.lit("")), F.col("size").cast("string"), F.lit(str(txn.seq))), 256)).withColumn("project_id", F.lit(project_id))
-            versions = txn.append("versions", fresh.select("version_id", "project_id", "rel_path", "sha256", "size", "kind", "reason", "raw", "text"))
+            versions = txn.append("versions", fresh.select("version_id", "project_id", "rel_path", "sha256", "size", "kind", "reason", "modified", "raw", "text"))
             kept = versions.select("version_id", "rel_path", T.path_key(F.col("rel_path")).alias("path_key")).join(actions, "path_key")
             gone = actions.where("action IN ('tombstone', 'renamed_away')").select(F.lit(project_id).alias("project_id"), "path_key", F.col("path_key").alias("rel_path"), F.lit(None).cast("string").alias("version_id"), "action", F.lit(txn.seq).alias("valid_from"), F.lit(True).alias("tombstone"))
             live = kept.select(F.lit(project_id).alias("project_id"), "path_key", "rel_path", "version_id", "action", F.lit(txn.seq).alias("valid_from"), F.lit(False).alias("tombstone"))
             members = txn.append("memberships", live.unionByName(gone))
-            # versions carry their id already; chunks hang on it
-            texts = versions.where("reason IS NULL AND text IS NOT NULL AND text <> ''")
-            done = _append_versions(self.store, txn, texts)
+            done = append_evidence(self.store, txn, versions)
             tally = {r.action: r.n for r in members.groupBy("action").agg(F.count("*").alias("n")).collect()}
             return {"status": "refreshed", "project_id": project_id, "actions": tally, "n_evidence": done}
 
@@ -121,7 +121,8 @@ class KnowledgeBase:
                 raise NotFound(f"summary {supersedes_id} does not exist")
             new_id = (notes.agg(F.max("summary_id")).first()[0] or 0) + 1
             row = [(new_id, target_type, _slug(target_id), summary_type, content, cited, record_type, family, supersedes_id, "unconfirmed", "unreviewed", txn.seq, datetime.now(timezone.utc).replace(tzinfo=None))]
-            txn.append("summaries", self.spark.createDataFrame(row, SCHEMAS["summaries"]))
+            note = txn.append("summaries", self.spark.createDataFrame(row, SCHEMAS["summaries"]))
+            index_texts(txn, note.select(F.col("summary_id").cast("string").alias("doc"), "content"), 0)
             return {"status": "saved", "summary_id": new_id}
 
         return self.store.execute("save_summary", operation_id, request, handler)
@@ -140,32 +141,51 @@ class KnowledgeBase:
 
     # -- reads
 
-    def _corpus(self, seq: int, include_history: bool) -> DataFrame:
-        """Documents of both domains with their visibility; statistics always cover all of a domain."""
-        bodies = self.store.read("bodies", seq).dropDuplicates(["digest", "chars"])
-        occ = self.store.read("occurrences", seq).join(bodies, ["digest", "chars"])
-        log = self.store.read("memberships", seq)
-        tracked = log.select("version_id").where("version_id IS NOT NULL").distinct().withColumn("tracked", F.lit(True))
-        live = self._open_memberships(seq).select("version_id").distinct().withColumn("live", F.lit(True))
-        occ = occ.join(tracked, "version_id", "left").join(live, "version_id", "left")
-        shown = F.lit(True) if include_history else F.coalesce("live", F.lit(False)) | F.col("tracked").isNull()
-        evidence = occ.select(F.lit(1).alias("domain"), F.lit("evidence").alias("kind"), F.col("evidence_id").alias("id"), F.lit(0).cast("long").alias("order"), "project_id", "rel_path", "content", "line_start", "line_end", shown.alias("visible"))
-        notes = V.superseded(self.store.read("summaries", seq).withColumnRenamed("summary_id", "id"))
-        current = F.lit(True) if include_history else ~F.col("is_superseded")
-        note = notes.select(F.lit(0).alias("domain"), F.lit("summary").alias("kind"), F.col("id").cast("string").alias("id"), (-F.col("id")).alias("order"), F.col("target_id").alias("project_id"), F.lit(None).cast("string").alias("rel_path"), "content", F.lit(None).cast("long").alias("line_start"), F.lit(None).cast("long").alias("line_end"), current.alias("visible"))
-        return note, evidence
-
     def hits(self, query: str, seq: int, project_id: str | None = None, include_history: bool = False) -> DataFrame:
-        """All hits with their keys: domain, score, order, id; filters never change a score."""
+        """All hits with their keys: domain, score, order, id, and what is known of them but their text.
+
+        Read from the stored index, whose statistics cover all documents of a
+        domain by then; filters never change a score.
+        """
         phrases = R.query_phrases(query)
-        parts = [R.bm25(d, "content", phrases) for d in self._corpus(seq, include_history)]
-        out = parts[0].unionByName(parts[1]).where("visible")
-        return out.where(F.col("project_id") == _slug(project_id) if project_id else F.lit(True)) if project_id is None else out.where(F.when(F.col("domain") == 0, F.col("project_id") == _slug(project_id)).otherwise(F.col("project_id") == project_id))
+        index, stats = self.store.read("postings", seq), self.store.read("index_stats", seq)
+        found = [X.search(index, stats, phrases, domain) for domain in (0, 1)]
+        occ = self.store.read("occurrences", seq).join(found[1], F.col("evidence_id") == F.col("doc"))
+        if project_id is not None:
+            occ = occ.where(F.col("project_id") == project_id)
+        if not include_history:
+            tracked = self.store.read("memberships", seq).select("version_id").where("version_id IS NOT NULL").distinct().withColumn("tracked", F.lit(True))
+            live = self._open_memberships(seq).select("version_id").distinct().withColumn("live", F.lit(True))
+            occ = occ.join(tracked, "version_id", "left").join(live, "version_id", "left").where(F.coalesce("live", F.lit(False)) | F.col("tracked").isNull())
+        evidence = occ.select(F.lit(1).alias("domain"), "score", F.lit(0).cast("long").alias("order"), F.col("evidence_id").alias("id"), F.lit("evidence").alias("kind"), "project_id", "rel_path", "line_start", "line_end", "digest", "chars")
+        notes = V.superseded(self.store.read("summaries", seq).drop("content").withColumnRenamed("summary_id", "id"))
+        if not include_history:
+            notes = notes.where(~F.col("is_superseded"))
+        notes = notes.join(found[0], F.col("id").cast("string") == F.col("doc"))
+        if project_id is not None:
+            notes = notes.where(F.col("target_id") == _slug(project_id))
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        note = notes.select(F.lit(0).alias("domain"), "score", (-F.col("id")).alias("order"), F.col("id").cast("string").alias("id"), F.lit("summary").alias("kind"), F.col("target_id").alias("project_id"), none("string", "rel_path"), none("long", "line_start"), none("long", "line_end"), none("string", "digest"), none("long", "chars"))
+        return note.unionByName(evidence)
+
+    def _snippets(self, rows: list, phrases: list[list[str]], seq: int) -> dict[tuple, tuple]:
+        """(domain, id) -> snippet and its start, of at most a page of hits; only their texts are read."""
+        digests = sorted({r.digest for r in rows if r.digest})
+        notes = [int(r.id) for r in rows if r.domain == 0]
+        bodies = self.store.read("bodies", seq).where(F.col("digest").isin(digests)).select(F.lit(1).alias("domain"), F.concat_ws(":", "digest", "chars").alias("id"), "content")
+        texts = self.store.read("summaries", seq).where(F.col("summary_id").isin(notes)).select(F.lit(0).alias("domain"), F.col("summary_id").cast("string").alias("id"), "content")
+        parts = [df for df, some in ((bodies, digests), (texts, notes)) if some]
+        if not parts:
+            return {}
+        first = F.greatest(R.first_match(F.col("content"), phrases) - 48, F.lit(1))
+        got = reduce(DataFrame.unionByName, parts).select("domain", "id", F.substr("content", first, F.lit(256)).alias("snippet"), (first - 1).alias("start")).collect()
+        by = {(r.domain, r.id): (r.snippet, r.start) for r in got}
+        return {(r.domain, r.id): by[(r.domain, r.id if r.domain == 0 else f"{r.digest}:{r.chars}")] for r in rows}
 
     def search_page(self, query: str, project_id: str | None = None, generation_id: str | None = None, include_history: bool = False, limit: int = 20, cursor: str | None = None) -> dict:
         """One page of ranked hits, summaries first, with a signed cursor to the next."""
         _check(isinstance(query, str) and 0 < len(query.strip()) <= 256, "query must have 1 to 256 characters")
-        _bounded(limit, 1, 50, "limit")
+        _bounded(limit, 1, 100, "limit")
         m = self.store.manifest()
         key = bytes.fromhex(m["cursor_key"])
         scope = {"endpoint": "search", "query": query, "project_id": project_id, "generation_id": generation_id, "history": include_history}
@@ -173,11 +193,12 @@ class KnowledgeBase:
         gen = self.store.generation(after[-1] if after else generation_id)
         keys = ["domain", "score", "order", "id"]
         rows = self.hits(query, gen["seq"], project_id, include_history)
-        start = R.first_match(F.col("content"), R.query_phrases(query))
-        first = F.greatest(start - 48, F.lit(1))
-        rows = (R.after_key(rows, keys, after[:-1]) if after else rows).orderBy(*keys).limit(limit + 1)
-        got = rows.select(*keys, "kind", "project_id", "rel_path", "line_start", "line_end", F.substr("content", first, F.lit(256)).alias("snippet"), (first - 1).alias("snippet_start")).collect()
-        items = [r.asDict() for r in got]
+        got = (R.after_key(rows, keys, after[:-1]) if after else rows).orderBy(*keys).limit(limit + 1).collect()
+        cut = self._snippets(got, R.query_phrases(query), gen["seq"])
+        items = []
+        for r in got:
+            snippet, start = cut[(r.domain, r.id)]
+            items.append({k: v for k, v in r.asDict().items() if k not in ("digest", "chars")} | {"snippet": snippet, "snippet_start": start})
         base = {"status": "ok" if items else "no_match", "generation": gen["id"]}
         return cursors.pack_page(items, limit, base, lambda x: cursors.sign(key, scope, (*(x[k] for k in keys), gen["id"])), clip="snippet")
 
@@ -187,14 +208,12 @@ class KnowledgeBase:
         _bounded(top_k, 1, 100, "top_k")
         if mode == "vector":
             return {"status": "unavailable", "reason": "no vector index", "results": []}
-        if mode == "graph":
-            return {"status": "ok", "results": [], **self.related(query)}
-        page = self.search_page(query, project_id, limit=min(top_k, 50))
-        out = {"status": page["status"], "generation": page["generation"], "results": page["items"]}
-        if mode == "hybrid":
+        page = self.search_page(query, project_id, limit=top_k)
+        out = {"status": page["status"], "generation": page["generation"], "results": [] if mode == "graph" else page["items"]}
+        if mode in ("hybrid", "graph"):
             near = list(dict.fromkeys(x["project_id"] for x in page["items"][:8] if x["project_id"]))
             edges = G.top_edges(self.store.read("relations").where(F.col("source_id").isin(near)), 8).collect() if near else []
-            out["relations"] = [r.asDict() for r in edges]
+            out["relations"] = sorted((r.asDict() for r in edges), key=lambda e: (near.index(e["source_id"]), -e["weight"], e["relation_type"], e["target_id"]))
         return out
 
     def retrieve(self, query: str, project_id: str | None = None, top_k: int = 10) -> dict:
@@ -213,14 +232,26 @@ class KnowledgeBase:
 
     def audit_claims(self, text: str) -> dict:
         """Each claim of a text with its best hits."""
+        gen = self.store.generation()
         claims = [r.claim for r in self.spark.createDataFrame([(text,)], "t string").select(F.explode(T.claims(F.col("t"))).alias("claim")).collect()]
-        out = []
-        for c in claims:  # a request text has few claims; tables of claims go through plans.catalogue.audit_claims
+        best: dict[int, list] = {}
+        asked = []
+        for i, c in enumerate(claims):
             try:
-                found = self.search(c[:256], top_k=5)["results"]
-                out.append({"claim": c, "status": "supported_candidate" if found else "needs_evidence", "results": [x["id"] for x in found]})
+                R.query_phrases(c)
+                asked.append(i)
             except R.QueryError:
-                out.append({"claim": c, "status": "needs_narrower_query", "results": []})
+                best[i] = None
+        # many claims in one job; a request text has few, tables of claims go through plans.catalogue.audit_claims
+        for at in range(0, len(asked), 16):
+            parts = [self.hits(claims[i], gen["seq"]).orderBy("domain", "score", "order", "id").limit(5).withColumn("claim", F.lit(i)) for i in asked[at : at + 16]]
+            for r in reduce(DataFrame.unionByName, parts).collect():
+                best.setdefault(r.claim, []).append(r)
+        out = []
+        for i, c in enumerate(claims):
+            rows = best.get(i, [])
+            status = "needs_narrower_query" if rows is None else "supported_candidate" if rows else "needs_evidence"
+            out.append({"claim": c, "status": status, "results": [r.id for r in sorted(rows or [], key=lambda r: (r.domain, r.score, r.order, r.id))]})
         return {"status": "ok", "claims": out}
 
     def resume_pack(self, target_role: str, top_projects: int = 10, per_project: int = 6) -> dict:
@@ -289,8 +320,8 @@ class KnowledgeBase:
         return {"status": "missing" if not rows else "ambiguous" if len(rows) > 1 else "resolved", "evidence_id": rows[0].evidence_id if len(rows) == 1 else None}
 
     def related(self, item_id: str, depth: int = 1, relation_types: list[str] | None = None) -> dict:
-        rows = G.bfs(self.store.read("relations"), item_id, depth, relation_types).orderBy("depth", "source_id", F.desc("weight"), "relation_type", "target_id").limit(1000).collect()
-        return {"status": "ok" if rows else "no_match", "item_id": item_id, "relations": [r.asDict() for r in rows]}
+        rows = G.bfs(self.store.read("relations"), item_id, depth, relation_types).orderBy("depth", "source_id", F.desc("weight"), "relation_type", "target_id").limit(1001).collect()
+        return {"status": "ok" if rows else "no_match", "item_id": item_id, "relations": [r.asDict() for r in rows[:1000]], "truncated": len(rows) > 1000}
 
     def project(self, project_id: str) -> dict:
         """A project with its files, notes and confirmed facts."""
@@ -300,7 +331,8 @@ class KnowledgeBase:
         files_ = self._open_memberships().where(F.col("project_id") == project_id).agg(F.count("*").alias("n")).first().n
         notes = self._notes().where((F.col("target_type") == "project") & (F.col("target_id") == _slug(project_id)) & F.col("is_current"))
         fam = notes.where("provenance_review = 'reviewed' AND summary_family IS NOT NULL").groupBy("summary_family").agg(F.count("*").alias("n"), F.min("summary_id").alias("summary_id")).where("n = 1")
-        return {"status": "ok", **p.asDict(), "n_files": files_, "n_current_summaries": notes.count(), "confirmed_facts": [r.summary_id for r in fam.orderBy("summary_id").limit(100).collect()]}
+        facts = [r.summary_id for r in fam.orderBy("summary_id").limit(101).collect()]
+        return {"status": "ok", **p.asDict(), "n_files": files_, "n_current_summaries": notes.count(), "confirmed_facts": facts[:100], "truncated": len(facts) > 100}
 
     def list_projects(self, limit: int = 1000) -> dict:
         rows = self.store.read("projects").dropDuplicates(["project_id"]).orderBy("project_id").limit(_bounded(limit, 1, 1000, "limit")).collect()
@@ -333,19 +365,6 @@ class KnowledgeBase:
         return calls[kind](item)
 
 
-def _append_versions(store: Store, txn: Transaction, versions: DataFrame) -> int:
-    """Chunks of file versions whose ids are set already."""
-    from strataseek.operators.chunking import chunk_table
-
-    chunks = chunk_table(versions.select("version_id", "text"), "version_id", "text").withColumn("digest", F.sha2("content", 256)).withColumn("chars", F.length("content").cast("long"))
-    bodies = chunks.select("digest", "chars", "content").dropDuplicates(["digest", "chars"]).join(store.read("bodies").select("digest", "chars"), ["digest", "chars"], "left_anti")
-    txn.append("bodies", bodies)
-    before = Window.partitionBy("version_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    placed = chunks.withColumn("char_start", F.coalesce(F.sum("chars").over(before), F.lit(0)).cast("long")).withColumn("char_end", F.col("char_start") + F.col("chars"))
-    occ = placed.join(versions.select("version_id", "project_id", "rel_path"), "version_id").withColumn("evidence_id", F.substring(F.sha2(F.concat_ws("\x1f", "version_id", "ordinal"), 256), 1, 32))
-    return txn.append("occurrences", occ).count()
-
-
 def operation_id(*parts: str) -> str:
     """A stable id for callers that have none."""
     return hashlib.sha256("\x1f".join(parts).encode()).hexdigest()[:32]

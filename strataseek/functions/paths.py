@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 #: Files above this size are not indexed.
 MAX_BYTES = 700_000
-# Extensions that hold text, images and archives aside, and names that say what a file is.
-TEXT_EXT = "md mdx txt rst tex html py ipynb js jsx ts tsx mjs cjs json jsonl toml yaml yml ini cfg csv tsv sql sh go rs java c h cpp"
-PRIORITY_NAMES = "readme agents architecture design_notes package.json pyproject.toml vite.config.ts"
+# Extensions that hold text, names that say what a file is, names and endings that hold secrets, and parts
+# of a name that speak of them.
+TEXT_EXT = "md mdx txt rst py ipynb js jsx ts tsx mjs cjs json jsonl toml yaml yml ini cfg csv tsv sql sh ps1 bat cmd html css scss vue svelte java go rs cpp c h hpp cs r m tex"
+PRIORITY_NAMES = (
+    "readme agents architecture design_notes repository_architecture repository_structure repository_map project_summary data_card model_card package.json pyproject.toml requirements.txt environment.yml conda.yml setup.py setup.cfg "
+    "dockerfile docker-compose.yml docker-compose.yaml makefile justfile vite.config.ts vite.config.js next.config.js next.config.mjs tsconfig.json"
+)
 LOW_VALUE = r"(?:^|/)(?:package-lock\.json|pnpm-lock\.yaml|[^/]*\.lock)$|(?:^|/)(?:__pycache__|node_modules|\.git|dist|build)/"
-SENSITIVE = r"(?:^|/)(?:\.env(?:\.[a-z]+)?|\.npmrc|\.pypirc|id_(?:rsa|dsa|ecdsa|ed25519)|auth\.json)$|\.(?:pem|key|p12|pfx)$|secrets?\b|credentials?\b|private_key|api_?key|(?:access|refresh)_token"
+SENSITIVE = r"(?:^|/)(?:\.env(?:\.[a-z]+)?|\.npmrc|\.pypirc|id_(?:rsa|dsa|ecdsa|ed25519)|auth\.json|token\.json)$|\.(?:pem|key|p12|pfx|crt)$|secret|credential|private_key|api_?key|(?:access|refresh)_token"
 
 
 def extension(path: Column) -> Column:
@@ -37,10 +41,10 @@ def triage(path: Column) -> Column:
     """Sensitive paths in four classes: key, environment, credential, token; null for others."""
     p = F.lower(F.translate(path, "\\", "/"))
     return (
-        F.when(p.rlike(r"(?:^|/)id_(?:rsa|dsa|ecdsa|ed25519)$|\.(?:pem|key|p12|pfx)$|private_key"), "key")
+        F.when(p.rlike(r"(?:^|/)id_(?:rsa|dsa|ecdsa|ed25519)$|\.(?:pem|key|p12|pfx|crt)$|private_key"), "key")
         .when(p.rlike(r"(?:^|/)\.(?:env(?:\.[a-z]+)?|npmrc|pypirc)$"), "environment")
-        .when(p.rlike(r"secrets?\b|credentials?\b|(?:^|/)auth\.json$"), "credential")
-        .when(p.rlike(r"(?:access|refresh)_token|api_?key"), "token")
+        .when(p.rlike(r"secret|credential|(?:^|/)auth\.json$"), "credential")
+        .when(p.rlike(r"(?:access|refresh)_token|api_?key|(?:^|/)token\.json$"), "token")
     )
 
 

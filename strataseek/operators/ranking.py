@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataseek.functions.text import fold, fold_text, terms
+from strataseek.functions.text import fold, fold_text
 
 K1, B = 1.2, 0.75
 #: A term in more than half of the documents still counts this much.
@@ -88,43 +88,3 @@ def first_match(text: Column, phrases: list[list[str]]) -> Column:
     """1-based place of the first phrase in a text, by its folded form (1 if it only matches across marks)."""
     rx = "|".join(r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(map(re.escape, p)) + r"(?![\p{L}\p{N}])" for p in phrases)
     return F.greatest(F.lit(1), F.regexp_instr(fold(text), F.lit(rx)))
-
-
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Inverted index: term, key, tf, positions (from 0). One row per term and document."""
-    toks = docs.select(key, F.posexplode(terms(F.col(text))).alias("pos", "term"))
-    return toks.groupBy("term", key).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-
-
-def lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, dl of every document, empty ones included."""
-    return docs.select(key, F.size(terms(F.col(text))).cast("long").alias("dl"))
-
-
-def bm25_from_index(index: DataFrame, sizes: DataFrame, key: str, phrases: list[list[str]]) -> DataFrame:
-    """key, score from stored postings: reads only the rows of the query's terms.
-
-    ``index`` as from ``postings`` (best written partitioned or bucketed by
-    term), ``sizes`` as from ``lengths``. Phrases of several terms are found
-    by their positions.
-    """
-    wanted = sorted({t for p in phrases for t in p})
-    rows = index.where(F.col("term").isin(wanted))
-    per_doc = rows.groupBy(key).agg(*(F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"__p{i}") for i, t in enumerate(wanted)))
-    at = {t: F.coalesce(F.col(f"__p{i}"), F.array().cast("array<int>")) for i, t in enumerate(wanted)}
-
-    def tf(p: list[str]) -> Column:
-        starts = at[p[0]]
-        for i in range(1, len(p)):
-            starts = F.array_intersect(starts, F.transform(at[p[i]], lambda x: x - i))  # noqa: B023 - called at once
-        return F.size(starts).cast("double")
-
-    counted = per_doc.select(key, *(tf(p).alias(f"__f{i}") for i, p in enumerate(phrases))).join(sizes, key)
-    k = range(len(phrases))
-    hits = counted.where(reduce(lambda a, b: a | b, (F.col(f"__f{i}") > 0 for i in k)))
-    corpus = sizes.agg(F.count("*").cast("double").alias("__n"), F.avg("dl").alias("__avg"))
-    df = hits.agg(*(F.sum((F.col(f"__f{i}") > 0).cast("double")).alias(f"__d{i}") for i in k))
-    j = hits.crossJoin(F.broadcast(corpus)).crossJoin(F.broadcast(df))  # single rows
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("__avg"))
-    idf = lambda i: F.greatest(F.lit(IDF_FLOOR), F.log((F.col("__n") - F.col(f"__d{i}") + 0.5) / (F.col(f"__d{i}") + 0.5)))
-    return j.select(key, (-reduce(lambda a, b: a + b, (idf(i) * F.col(f"__f{i}") * (K1 + 1) / (F.col(f"__f{i}") + norm) for i in k))).alias("score"))

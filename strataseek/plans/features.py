@@ -100,7 +100,7 @@ from strataseek.plans.catalogue import _PATH  # noqa: E402
 
 _F = "f AS (SELECT DISTINCT id, project_id, rel_path, size, indexed, skipped_reason, mtime, replace(rel_path, '\\', '/') AS path FROM files)"
 _FIND = f"""WITH {_F}, c AS (SELECT DISTINCT id AS chunk_id, file_id FROM chunks), findings AS (
-SELECT 'P0' AS severity, 'sensitive_file_indexed' AS code, id AS item FROM f WHERE indexed = 1 AND regexp_matches({_PATH}, '{P.SENSITIVE}')
+SELECT 'P0' AS severity, 'sensitive_file_indexed' AS code, id AS item FROM f WHERE indexed = 1 AND (regexp_matches({_PATH}, 'secret|credential|private_key|apikey|api_key|access_token|refresh_token') OR regexp_matches({_PATH}, '(^|/)([.]env([.][a-z]+)?|[.]npmrc|[.]pypirc|id_rsa|id_dsa|id_ecdsa|id_ed25519|auth[.]json|token[.]json)$|[.](pem|key|p12|pfx|crt)$'))
 UNION ALL SELECT 'P1', 'indexed_file_without_chunks', id FROM f WHERE indexed = 1 AND id NOT IN (SELECT file_id FROM c WHERE file_id IS NOT NULL)
 UNION ALL SELECT 'P1', 'chunk_without_file', chunk_id FROM c WHERE file_id NOT IN (SELECT id FROM f)
 UNION ALL SELECT 'P2', 'skipped_without_reason', id FROM f WHERE indexed = 0 AND skipped_reason IS NULL

@@ -6,31 +6,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataseek.functions import text as T
+from strataseek.operators import fulltext as X
 from strataseek.operators import ranking as R
 from strataseek.operators.dedup import one_per_key
-from strataseek.runtime import spread, table
+from strataseek.runtime import scratch_path, spread, table
 
 QUERY = "evidence claim résumé"
 PHRASE_QUERY = "stale.summary notebook"
 
 
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str, name: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and statistics of a table's texts, written once per application to the shared folder and read from there."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _indexes:
+        docs = table(spark, sf_dir, name).select(key, text)
+        docs = one_per_key(spread(docs, key), key) if name != "documents" else spread(docs, key)
+        path = scratch_path(spark)
+        X.write(docs, key, text, path)
+        _indexes[at] = path
+    path = _indexes[at]
+    return spark.read.schema(X.POSTINGS).parquet(f"{path}/postings"), spark.read.schema(X.STATS).parquet(f"{path}/stats")
+
+
+def search_table(spark: SparkSession, sf_dir: str, name: str, key: str, text: str, query: str) -> DataFrame:
+    """key and score (rounded to 6 digits) of the rows of a table that a query hits, by its stored index."""
+    index, stats = stored_index(spark, sf_dir, name, key, text)
+    return X.search(index, stats, R.query_phrases(query)).select(F.col("doc").cast("long").alias(key), F.round("score", 6).alias("score"))
+
+
+def _with_source(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
+    return hits.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
 
 
 def _ranked(spark: SparkSession, sf_dir: str, query: str = QUERY) -> DataFrame:
-    return R.bm25(_docs(spark, sf_dir), "text", R.query_phrases(query)).withColumn("score", F.round("score", 6))
+    return search_table(spark, sf_dir, "documents", "doc_id", "text", query)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best documents for a query, with the text around the first match."""
     hits = R.page(_ranked(spark, sf_dir), ["score", "doc_id"], 10)
-    return hits.select("doc_id", "source", "score", T.snippet(F.col("text"), R.first_match(F.col("text"), R.query_phrases(QUERY))).alias("snippet"))
+    # the texts of one page, at most 100 ids, are all that is read of the documents
+    texts = table(spark, sf_dir, "documents").select("doc_id", "source", "text").join(F.broadcast(hits), "doc_id")
+    return texts.select("doc_id", "source", "score", T.snippet(F.col("text"), R.first_match(F.col("text"), R.query_phrases(QUERY))).alias("snippet"))
 
 
 def bm25_project_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The project filter comes after scoring and changes no score."""
-    return R.page(_ranked(spark, sf_dir).where("source = 'amber-parser'"), ["score", "doc_id"], 20).select("doc_id", "score")
+    return R.page(_with_source(spark, sf_dir, _ranked(spark, sf_dir)).where("source = 'amber-parser'"), ["score", "doc_id"], 20).select("doc_id", "score")
 
 
 def bm25_keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,27 +73,25 @@ def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same scores from an inverted index with positions."""
-    docs = _docs(spark, sf_dir)
-    hits = R.bm25_from_index(R.postings(docs, "doc_id", "text"), R.lengths(docs, "doc_id", "text"), "doc_id", R.query_phrases(PHRASE_QUERY))
-    return hits.select("doc_id", F.round("score", 6).alias("score"))
+    """Every hit by the stored index: partitions and row groups of the query's terms only."""
+    return search_table(spark, sf_dir, "documents", "doc_id", "text", PHRASE_QUERY)
+
+
+def bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores without an index: two passes over all texts, for collections searched once."""
+    return R.bm25(_docs(spark, sf_dir), "text", R.query_phrases(PHRASE_QUERY)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def summary_then_evidence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries always come before evidence, whatever their scores; each domain has its own statistics."""
-    phrases = R.query_phrases("refresh job")
-    s = one_per_key(table(spark, sf_dir, "summaries").select("id", "content"), "id")
-    c = one_per_key(spread(table(spark, sf_dir, "chunks").select("id", "content"), "id"), "id")
-    one = lambda df, domain: R.bm25(df, "content", phrases).select(F.lit(domain).alias("domain"), F.col("id").alias("source_id"), F.round("score", 6).alias("score"), F.lit(-domain).alias("x")).drop("x")
-    both = one(s, 0).unionByName(one(c, 1))
-    return R.page(both, ["domain", "score", "source_id"], 100)
+    parts = [search_table(spark, sf_dir, name, "id", "content", "refresh job").select(F.lit(domain).alias("domain"), F.col("id").alias("source_id"), "score") for domain, name in enumerate(("summaries", "chunks"))]
+    return R.page(parts[0].unionByName(parts[1]), ["domain", "score", "source_id"], 100)
 
 
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary of the index with document frequency and occurrences."""
-    docs = _docs(spark, sf_dir).select("doc_id", F.explode(T.terms(F.col("text"))).alias("term"))
-    per = docs.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+    index, _ = stored_index(spark, sf_dir, "documents", "doc_id", "text")
+    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
 def like_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,11 +114,11 @@ def coverage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def documents_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compact retrieval: whitelisted fields of the best hits."""
     hits = R.page(_ranked(spark, sf_dir, "parser budget"), ["score", "doc_id"], 20)
-    full = table(spark, sf_dir, "documents").select("doc_id", "rel_path", "lang", "n_chars")
-    return hits.select("doc_id", "source", "score").join(full, "doc_id")
+    full = table(spark, sf_dir, "documents").select("doc_id", "source", "rel_path", "lang", "n_chars")
+    return full.join(F.broadcast(hits), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_project_filter, bm25_keyset_page, bm25_phrase, bm25_index, summary_then_evidence_search, index_terms, like_fallback, coverage_rank)} | {"compact_retrieve": documents_like}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_project_filter, bm25_keyset_page, bm25_phrase, bm25_index, bm25_scan, summary_then_evidence_search, index_terms, like_fallback, coverage_rank)} | {"compact_retrieve": documents_like}
 
 _T = "regexp_extract_all(strip_accents(lower(coalesce({0}, ''))), '[\\p{{L}}\\p{{N}}]+')"
 
@@ -118,6 +145,7 @@ ORACLES = {
     "bm25_keyset_page": _TOP + "SELECT doc_id, score FROM ranked WHERE (score, doc_id) > (-2.0, 0) ORDER BY score, doc_id LIMIT 20",
     "bm25_phrase": f"WITH {_score('documents', 'doc_id', 'text', _PH)} SELECT doc_id, score FROM ranked",
     "bm25_index": f"WITH {_score('documents', 'doc_id', 'text', _PH)} SELECT doc_id, score FROM ranked",
+    "bm25_scan": f"WITH {_score('documents', 'doc_id', 'text', _PH)} SELECT doc_id, score FROM ranked",
     "summary_then_evidence_search": f"""WITH s AS (SELECT DISTINCT id, content FROM summaries), c AS (SELECT DISTINCT id, content FROM chunks),
 a AS (WITH {_score('s', 'id', 'content', ['refresh', 'job'])} SELECT 0 AS domain, id AS source_id, score FROM ranked), b AS (WITH {_score('c', 'id', 'content', ['refresh', 'job'])} SELECT 1 AS domain, id AS source_id, score FROM ranked)
 SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY domain, score, source_id LIMIT 100""",

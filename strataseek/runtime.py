@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     (local tests) a temporary folder is taken and kept for the application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         app = spark.sparkContext.applicationId
         if app not in _own:
@@ -53,6 +55,13 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder below the shared one, gone when the driver ends."""
+    path = f"{shared_dir(spark)}/strataseek/{uuid.uuid4().hex}"
+    _delete_on_exit(spark, path)
+    return path
+
+
 def materialise(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -60,10 +69,9 @@ def materialise(df: DataFrame, *, partition_by: list[str] | None = None) -> Data
     the columns and row groups they need. Files go when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strataseek/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

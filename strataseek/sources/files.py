@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from strataseek.functions import paths as P
+from strataseek.runtime import materialise
 
 #: Folders that are never entered.
 IGNORED = r"(?:^|/)(?:\.git|node_modules|__pycache__|\.venv|venv|dist|build|\.cache|worktrees)/"
@@ -25,42 +31,69 @@ def scan(spark: SparkSession, root: str, ignored: str = IGNORED) -> DataFrame:
     return files.withColumn("rel_path", rel).where(~F.col("rel_path").rlike(ignored)).select("path", "rel_path", "size", "modified", kind.alias("kind")).withColumn("reason", P.skip_reason(F.col("kind")))
 
 
+#: Paths handed to one read of contents.
+READ_PATHS = 5_000
+
+
 def read(spark: SparkSession, root: str, ignored: str = IGNORED) -> DataFrame:
     """``scan`` with raw content, digest and text of the files that may be indexed.
 
-    Sensitive and unsupported files are filtered by path before their content
-    is opened; large ones by ``length``, which the reader skips on.
+    The folder is listed first; then only files with a class that is indexed
+    are opened, in blocks of READ_PATHS paths, so content of sensitive, large
+    and unsupported files is never read. A text with a literal secret gets the
+    reason ``secret_content`` and neither raw content nor text.
     """
-    meta = scan(spark, root, ignored)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= P.MAX_BYTES).select(F.col("path").alias("__path"), F.col("content").alias("raw"))
-    wanted = meta.where("reason IS NULL").select("path", "rel_path", "size", "kind", "reason")
-    read = wanted.join(raw, wanted.path == F.col("__path"), "left").drop("__path")
+    meta = materialise(scan(spark, root, ignored))
+    wanted = meta.where("reason IS NULL").select("path", "rel_path", "size", "modified", "kind")
+    blocks, block = [], []
+    for r in wanted.select("path").toLocalIterator():
+        block.append(r.path)
+        if len(block) == READ_PATHS:
+            blocks.append(block)
+            block = []
+    blocks += [block] if block else []
+    contents = [spark.read.format("binaryFile").load([_glob_free(x) for x in b]).select("path", F.col("content").alias("raw")) for b in blocks]
+    empty = spark.createDataFrame([], "path string, raw binary")
+    raw = reduce(DataFrame.unionByName, contents, empty)
+    found = wanted.join(raw, "path", "left")
     text = decode(F.col("raw"))
     body = F.when(P.extension(F.col("rel_path")) == "ipynb", notebook(text)).otherwise(text)
-    out = read.select("rel_path", "size", "kind", F.when(F.col("raw").isNull(), "read_failed").when(text.isNull(), "binary").alias("reason"), "raw", F.sha2("raw", 256).alias("sha256"), body.alias("text"))
-    skipped = meta.where("reason IS NOT NULL").select("rel_path", "size", "kind", "reason", F.lit(None).cast("binary").alias("raw"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("text"))
-    return out.unionByName(skipped)
+    found = found.select("rel_path", "size", "modified", "kind", "raw", F.sha2("raw", 256).alias("sha256"), body.alias("text"))
+    reason = F.when(F.col("raw").isNull(), "read_failed").when(F.col("text").isNull(), "binary").when(F.col("text").rlike(P.SECRET_TEXT), "secret_content")
+    found = found.withColumn("reason", reason)
+    secret = F.col("reason").eqNullSafe("secret_content")
+    out = found.select("rel_path", "size", "modified", "kind", "reason", F.when(~secret, F.col("raw")).alias("raw"), "sha256", F.when(~secret, F.col("text")).alias("text"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return out.unionByName(meta.where("reason IS NOT NULL").select("rel_path", "size", "modified", "kind", "reason", none("binary", "raw"), none("string", "sha256"), none("string", "text")))
 
 
-def decode(raw: Column) -> Column:
-    """Text of bytes: UTF-8 without its mark; null where it is none or holds control characters.
+def _glob_free(path: str) -> str:
+    """A listed path as a pattern that means this path only."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
-    With the session flag ``spark.sql.legacy.javaCharsets`` GB18030 is tried
-    for what is no UTF-8 (see ``decode_gb18030``).
-    """
-    s = F.expr("NULL").cast("string")
-    utf = F.when(F.is_valid_utf8(raw.cast("string")), F.regexp_replace(F.decode(raw, "UTF-8"), "^﻿", ""))
-    s = F.coalesce(utf, s)
-    return F.when(~s.rlike(r"[\x00-\x08\x0b\x0e-\x1f\x7f]"), s)
 
+_BAD = r"[\x00-\x08\x0b\x0e-\x1f\x7f]"
 
-def decode_gb18030(raw: Column) -> Column:
-    """UTF-8, else GB18030; needs spark.sql.legacy.javaCharsets=true."""
-    s = F.coalesce(decode(raw), F.decode(raw, "GB18030"))
-    return F.when(~s.rlike(r"[\x00-\x08\x0b\x0e-\x1f\x7f�]"), s)
 
+@F.pandas_udf(StringType())
+def _gb18030(raw: pd.Series) -> pd.Series:
+    """GB18030 bytes as text, null for null and for what is none."""
 
-_CELLS = "cells array<struct<cell_type:string, source:variant>>"
+    def one(b: bytes | None) -> str | None:
+        try:
+            return None if b is None else b.decode("gb18030")
+        except UnicodeDecodeError:
+            return None
+
+    return raw.map(one)
+
+
+def decode(raw: Column) -> Column:
+    """Text of bytes: UTF-8 without its mark, else GB18030; null where it is neither or holds control characters."""
+    utf = F.is_valid_utf8(raw.cast("string"))
+    # bytes that are UTF-8 do not leave the JVM
+    s = F.coalesce(F.when(utf, F.regexp_replace(F.decode(raw, "UTF-8"), "^\ufeff", "")), _gb18030(F.when(~utf, raw)))
+    return F.when(~s.rlike(_BAD), s)
 
 
 def notebook(text: Column) -> Column:

@@ -8,7 +8,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from strataseek import runtime
 from strataseek.functions import text as T
+from strataseek.operators import fulltext as X
 from strataseek.operators import graph as G
 from strataseek.operators import ranking as R
 from strataseek.operators import skew
@@ -36,10 +38,16 @@ def test_bm25_both_ways(spark):
     phrases = R.query_phrases("foo.bar ete Common common 数据")
     assert phrases == [["foo", "bar"], ["ete"], ["common"], ["common"], ["数据"]]
     want = brute_bm25(texts, phrases)
-    for got in (R.bm25(df, "text", phrases), R.bm25_from_index(R.postings(df, "id", "text"), R.lengths(df, "id", "text"), "id", phrases)):
+    path = runtime.scratch_path(spark)
+    X.write(df, "id", "text", path)
+    index, stats = spark.read.schema(X.POSTINGS).parquet(f"{path}/postings"), spark.read.schema(X.STATS).parquet(f"{path}/stats")
+    stored = X.search(index, stats, phrases)
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", stored._jdf.queryExecution().toString())
+    for got in (R.bm25(df, "text", phrases), stored.selectExpr("CAST(doc AS long) AS id", "score")):
         rows = {x.id: x.score for x in got.collect()}
         assert rows.keys() == want.keys() and all(math.isclose(rows[k], want[k], rel_tol=1e-9) for k in want)
     assert R.bm25(df.where("id < 0"), "text", phrases).count() == 0
+    assert X.search(index.where("doc = '-1'"), stats.where("n_docs < 0"), phrases).count() == 0
     with pytest.raises(R.QueryError):
         R.query_phrases("the of a")
 
