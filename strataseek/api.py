@@ -74,8 +74,8 @@ class KnowledgeBase:
         if root is None:
             raise NotFound(f"project {project_id} is not registered")
         found = files.read(self.spark, root.root).withColumn("path_key", T.path_key(F.col("rel_path")))
-        now = self._open_memberships(seq).where(F.col("project_id") == project_id).join(self.store.read("versions", seq).select("version_id", "sha256", "size"), "version_id")
-        cols = lambda df: df.select(F.lit(project_id).alias("project_id"), F.col("path_key").alias("rel_path"), "sha256", "size")
+        now = self._open_memberships(seq).where(F.col("project_id") == project_id).join(self.store.read("versions", seq).select("version_id", "sha256", "size", "modified"), "version_id")
+        cols = lambda df: df.select(F.lit(project_id).alias("project_id"), F.col("path_key").alias("rel_path"), "sha256", "size", "modified")
         actions = V.refresh_diff(cols(now), cols(found)).withColumnRenamed("rel_path", "path_key")
         earlier = self.store.read("memberships", seq).where(F.col("project_id") == project_id).select("path_key").distinct().withColumn("before", F.lit(True))
         actions = actions.join(earlier, "path_key", "left").withColumn("action", F.when((F.col("action") == "new") & F.coalesce("before", F.lit(False)), "restored").otherwise(F.col("action"))).drop("before")
@@ -305,7 +305,7 @@ class KnowledgeBase:
         for col, v in (("target_type", target_type), ("target_id", target_id and _slug(target_id)), ("summary_type", summary_type)):
             n = n.where(F.col(col) == v) if v is not None else n
         if latest_only:
-            n = V.latest_per_key(n, ["target_type", "target_id", "summary_type"], F.desc("summary_id"))
+            n = V.latest_per_key(n, ["target_type", "target_id", "summary_type"], F.col("summary_id"))
         n = n.where(F.col("summary_id") > after[0]) if after else n
         rows = [r.asDict() for r in n.orderBy("summary_id").limit(limit + 1).select(*_SUMMARY, "content", "is_current").collect()]
         return cursors.pack_page(rows, limit, {"status": "ok" if rows else "no_match", "generation": gen["id"]}, lambda x: cursors.sign(key, scope, (x["summary_id"], gen["id"])), clip="content")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataseek.runtime import materialise
+
 #: Edges followed from one node, by weight, type and target.
 FANOUT = 80
 EDGE = ["source_id", "target_type", "target_id", "relation_type", "weight"]
@@ -57,21 +61,23 @@ def top_edges(edges: DataFrame, fanout: int = FANOUT) -> DataFrame:
 def bfs(edges: DataFrame, start: str, depth: int, relation_types: list[str] | None = None) -> DataFrame:
     """Edges reached from ``start`` within ``depth`` (1 to 4) steps, with the depth of their source plus one.
 
-    Only targets of type project that were not seen before are expanded. Each
-    step joins the frontier to the edges; the number of steps is bounded.
+    Only targets of type project that were not seen before are expanded. The
+    edges are cut to their fan-out once; each step joins the frontier to them
+    and is written, so no step repeats the one before.
     """
     if not 1 <= depth <= 4:
         raise ValueError("depth must be from 1 to 4")
     e = edges.where(F.col("relation_type").isin(relation_types)) if relation_types else edges
-    e = top_edges(e)
+    e = materialise(top_edges(e))
     frontier = edges.sparkSession.createDataFrame([(start,)], "source_id string")
-    seen, out = frontier, None
+    seen, out = frontier, []
     for d in range(1, depth + 1):
-        found = e.join(frontier, "source_id").withColumn("depth", F.lit(d))
-        out = found if out is None else out.unionByName(found)
-        frontier = found.where("target_type = 'project'").select(F.col("target_id").alias("source_id")).distinct().join(seen, "source_id", "left_anti")
-        seen = seen.unionByName(frontier)
-    return out
+        found = materialise(e.join(frontier, "source_id").withColumn("depth", F.lit(d)))
+        out.append(found)
+        if d < depth:
+            frontier = materialise(found.where("target_type = 'project'").select(F.col("target_id").alias("source_id")).distinct().join(seen, "source_id", "left_anti"))
+            seen = seen.unionByName(frontier)
+    return reduce(DataFrame.unionByName, out)
 
 
 def neighbours(edges: DataFrame, item: str, direction: str = "both", relation_type: str | None = None) -> DataFrame:

@@ -51,29 +51,44 @@ def superseded(notes: DataFrame) -> DataFrame:
 def refresh_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """What a refresh has to do per path: project_id, rel_path, action, moved_from.
 
-    ``old``, ``new``: project_id, rel_path, sha256, size, one row per path.
-    unchanged, new_version, tombstone, new; a new path whose digest and size
-    belong to exactly one path that is gone, and to no other new path, is a
-    rename (a possible_move where only the size is known). Null digests match
-    nothing.
+    ``old``, ``new``: project_id, rel_path, sha256, size, modified (any
+    comparable time), one row per path. unchanged (same digest and size, or
+    same size and time where a digest is null), new_version, tombstone, new; a
+    new path whose digest and size belong to exactly one path that is gone,
+    and to no other new path, is a rename, and that path renamed_away. Where
+    both digests are null and the size alone tells so, the new path is a
+    possible_move, and the old one stays a tombstone. Null digests match
+    nothing, null times neither.
     """
-    cols = lambda df, p: df.select("project_id", "rel_path", F.col("sha256").alias(f"{p}_sha"), F.col("size").alias(f"{p}_size"))
+    cols = lambda df, p: df.select("project_id", "rel_path", *(F.col(c).alias(f"{p}_{c}") for c in ("sha256", "size", "modified")), F.lit(True).alias(f"{p}_is"))
     j = cols(old, "o").join(cols(new, "n"), ["project_id", "rel_path"], "full")
-    known = F.col("o_size").isNotNull() | F.col("o_sha").isNotNull()
-    there = F.col("n_size").isNotNull() | F.col("n_sha").isNotNull()
-    action = F.when(~known, "new").when(~there, "tombstone").when(F.col("o_sha").eqNullSafe(F.col("n_sha")) & F.col("o_size").eqNullSafe(F.col("n_size")), "unchanged").otherwise("new_version")
+    size = F.col("o_size").eqNullSafe(F.col("n_size"))
+    digests = F.col("o_sha256").isNotNull() & F.col("n_sha256").isNotNull()
+    same = F.when(digests, (F.col("o_sha256") == F.col("n_sha256")) & size).otherwise(size & F.coalesce(F.col("o_modified") == F.col("n_modified"), F.lit(False)))
+    action = F.when(F.col("o_is").isNull(), "new").when(F.col("n_is").isNull(), "tombstone").when(same, "unchanged").otherwise("new_version")
     acts = j.withColumn("action", action)
-    once = lambda kind, p: acts.where(F.col("action") == kind).where(F.col(f"{p}_sha").isNotNull()).groupBy("project_id", F.col(f"{p}_sha").alias("sha"), F.col(f"{p}_size").alias("size")).agg(F.min("rel_path").alias(f"{p}_path"), F.count("*").alias(f"{p}_n")).where(f"{p}_n = 1")
-    moves = once("tombstone", "o").join(once("new", "n"), ["project_id", "sha", "size"]).select("project_id", F.col("n_path").alias("rel_path"), F.col("o_path").alias("moved_from"))
-    taken = moves.select("project_id", F.col("moved_from").alias("rel_path"), F.lit(True).alias("gone"))
+
+    def single(kind: str, p: str) -> DataFrame:
+        """Digest and size that one path only has among those with an action; a null digest is a value of its own."""
+        rows = acts.where(F.col("action") == kind).groupBy("project_id", F.coalesce(f"{p}_sha256", F.lit("")).alias("sha"), F.col(f"{p}_size").alias("size"))
+        return rows.agg(F.min("rel_path").alias(f"{p}_path"), F.count("*").alias(f"{p}_n")).where(f"{p}_n = 1")
+
+    moves = single("tombstone", "o").join(single("new", "n"), ["project_id", "sha", "size"]).select("project_id", F.col("n_path").alias("rel_path"), F.col("o_path").alias("moved_from"), (F.col("sha") != "").alias("sure"))
+    taken = moves.where("sure").select("project_id", F.col("moved_from").alias("rel_path"), F.lit(True).alias("gone"))
     out = acts.select("project_id", "rel_path", "action").join(moves, ["project_id", "rel_path"], "left").join(taken, ["project_id", "rel_path"], "left")
-    final = F.when(F.col("moved_from").isNotNull(), "renamed").when(F.coalesce("gone", F.lit(False)) & (F.col("action") == "tombstone"), "renamed_away").otherwise(F.col("action"))
+    final = F.when(F.col("sure"), "renamed").when(~F.col("sure"), "possible_move").when(F.coalesce("gone", F.lit(False)) & (F.col("action") == "tombstone"), "renamed_away").otherwise(F.col("action"))
     return out.select("project_id", "rel_path", final.alias("action"), "moved_from")
 
 
-def latest_per_key(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
-    """The first row of each key by ``order``, which must be total."""
-    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__rn = 1").drop("__rn")
+def latest_per_key(df: DataFrame, key: list[str], *order: Column, smallest: bool = False) -> DataFrame:
+    """The row of each key with the greatest (or smallest) ``order``, which must be total; nulls are smallest.
+
+    Reduced on the map side, so a hot key is no hot task.
+    """
+    rest = [c for c in df.columns if c not in key]
+    pick = F.min_by if smallest else F.max_by
+    one = df.groupBy(*key).agg(pick(F.struct(*rest), F.struct(*order)).alias("__row"))
+    return one.select(*(F.col(c) if c in key else F.col("__row")[c].alias(c) for c in df.columns))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:

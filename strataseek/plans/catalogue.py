@@ -57,12 +57,28 @@ def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunk_table(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", lossless=False)
 
 
+def lossless_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document put together again from its chunks: digest of the result, and whether all chunks keep the limits and follow each other."""
+    c = lossless_chunks(spark, sf_dir)
+    one = c.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "content", "line_start", "line_end"))).alias("c"))
+    text = F.array_join(F.transform("c", lambda x: x["content"]), "")
+    kept = F.forall("c", lambda x: (F.length(x["content"]) <= C.MAX_CHARS) & (x["line_end"] - x["line_start"] < C.MAX_LINES)) & (F.transform("c", lambda x: x["ordinal"]) == F.sequence(F.lit(0).cast("long"), F.size("c").cast("long") - 1))
+    return one.select("doc_id", F.sha2(text, 256).alias("digest"), kept.alias("within_limits"), (F.element_at("c", -1)["line_end"]).cast("long").alias("n_lines"))
+
+
+def chunk_lines_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the line chunks of every document hold beside white space."""
+    c = chunk_lines(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "content"))).alias("c"))
+    text = F.regexp_replace(F.array_join(F.transform("c", lambda x: x["content"]), ""), r"(?U)\s+", "")
+    return c.select("doc_id", F.sha2(text, 256).alias("digest"))
+
+
 def readme_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best readme of each project: nearest to the root, by extension, then by path."""
     f = one_per_key(table(spark, sf_dir, "files").select("id", "project_id", "rel_path"), "id").withColumn("p", F.translate("rel_path", "\\", "/"))
     f = f.where(F.lower("p").rlike(r"(?:^|/)readme\.(?:md|mdx|rst|txt)$"))
     depth, ext = F.size(F.split("p", "/")), F.array_position(F.array(*map(F.lit, ("md", "mdx", "rst", "txt"))), P.extension(F.col("p")))
-    return V.latest_per_key(f, ["project_id"], depth, ext, F.col("p"), F.col("id")).select("project_id", "id", F.col("p").alias("readme_path"))
+    return V.latest_per_key(f, ["project_id"], depth, ext, F.col("p"), F.col("id"), smallest=True).select("project_id", "id", F.col("p").alias("readme_path"))
 
 
 #: Keywords of a few domains; a parameter in spirit.
@@ -160,7 +176,7 @@ def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return V.latest_per_key(e, ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", "event_type")
+    return V.latest_per_key(e, ["user_id"], F.col("ts"), F.col("event_id")).select("user_id", "event_id", "event_type")
 
 
 def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +208,7 @@ def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        slugify_paths, compact_lines, claim_split, line_counts, classify_files, path_triage, secret_filter, lossless_chunks, chunk_lines, readme_choice, domain_keywords, technologies, audit_claims, resume_pack, hybrid_related,
+        slugify_paths, compact_lines, claim_split, line_counts, classify_files, path_triage, secret_filter, lossless_chunks, chunk_lines, lossless_round_trip, chunk_lines_text, readme_choice, domain_keywords, technologies, audit_claims, resume_pack, hybrid_related,
         join_inner, join_left, join_semi, join_anti, latest_per_key, topk_per_group, running_offsets, union_hits, session_counts,
     )
 }
@@ -229,6 +245,9 @@ SELECT id, kind, CASE kind WHEN 'sensitive' THEN 'sensitive_path' WHEN 'low_valu
 SELECT * FROM (SELECT id, CASE WHEN name IN ('id_rsa', 'id_dsa', 'id_ecdsa', 'id_ed25519') OR ends_with(name, '.pem') OR ends_with(name, '.key') OR ends_with(name, '.p12') OR ends_with(name, '.pfx') OR ends_with(name, '.crt') OR contains(p, 'private_key') THEN 'key'
   WHEN name IN ('.env', '.env.local', '.env.development', '.env.production', '.npmrc', '.pypirc') THEN 'environment' WHEN contains(p, 'secret') OR contains(p, 'credential') OR name = 'auth.json' THEN 'credential'
   WHEN contains(p, 'access_token') OR contains(p, 'refresh_token') OR contains(p, 'api_key') OR contains(p, 'apikey') OR name = 'token.json' THEN 'token' END AS risk FROM n) WHERE risk IS NOT NULL""",
+    "lossless_round_trip": r"""SELECT doc_id, sha256(text) AS digest, true AS within_limits, length(x) - length(replace(x, chr(10), '')) + CASE WHEN x LIKE '%' || chr(10) THEN 0 ELSE 1 END AS n_lines
+  FROM (SELECT doc_id, text, regexp_replace(text, '\r\n|\r', chr(10), 'g') AS x FROM documents) WHERE text <> ''""",
+    "chunk_lines_text": r"SELECT doc_id, sha256(b) AS digest FROM (SELECT doc_id, regexp_replace(text, '[\s\x{00a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}\x{0085}]+', '', 'g') AS b FROM documents) WHERE b <> ''",
     "secret_filter": "SELECT DISTINCT id FROM chunks WHERE regexp_matches(content, '" + P.SECRET_TEXT.replace("'", "''") + "')",
     "readme_choice": f"""SELECT project_id, id, replace(rel_path, '\\', '/') AS readme_path FROM (SELECT DISTINCT id, project_id, rel_path FROM files) WHERE regexp_matches({_PATH}, '(?:^|/)readme\\.(?:md|mdx|rst|txt)$')
   QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY len(string_split(replace(rel_path, '\\', '/'), '/')), list_position(['md', 'mdx', 'rst', 'txt'], {_EXT}), replace(rel_path, '\\', '/'), id) = 1""",

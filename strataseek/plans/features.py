@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,11 +68,12 @@ def severity_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks taken apart into bodies and occurrences and put together again: rows on one side only (none)."""
+    """Chunks taken apart into bodies and occurrences and put together again: rows of each, and rows that differ (0)."""
     c = one_per_key(table(spark, sf_dir, "chunks").select("id", "file_id", "line_start", "line_end", "content"), "id").withColumn("digest", F.sha2("content", 256))
-    bodies = c.select("digest", "content").dropDuplicates(["digest"])
+    bodies = c.groupBy("digest").agg(F.min("content").alias("content"))
     again = c.select("id", "file_id", "line_start", "line_end", "digest").join(bodies, "digest").select("id", "file_id", "line_start", "line_end", F.sha2("content", 256).alias("digest"))
-    return V.same_rows(c.select("id", "file_id", "line_start", "line_end", "digest"), again).groupBy("side").agg(F.count("*").alias("n"))
+    counts = {"chunks": c, "bodies": bodies, "occurrences": again, "differences": V.same_rows(c.select("id", "file_id", "line_start", "line_end", "digest"), again)}
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("relation"), "n") for name, df in counts.items()])
 
 
 def han_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +117,7 @@ ORACLES = {
 SELECT id, '# ' || name || chr(10) || chr(10) || '- files: ' || coalesce(a, 0) || ' (' || coalesce(b, 0) || ' indexed, ' || coalesce(s, 0) || ' bytes)' || chr(10) || '- technologies: ' || coalesce(array_to_string(list_sort(CASE WHEN json_valid(technologies) THEN technologies::JSON::VARCHAR[] END), ', '), '') || chr(10) AS card FROM projects LEFT JOIN n ON id = project_id""",
     "audit_findings": _FIND + "SELECT * FROM findings",
     "severity_tally": _FIND + "SELECT severity, count(*) AS n FROM findings GROUP BY ALL",
-    "import_proof": "SELECT 'left' AS side, count(*) AS n FROM chunks WHERE false HAVING count(*) > 0",
+    "import_proof": "SELECT 'chunks' AS relation, count(DISTINCT id) AS n FROM chunks UNION ALL SELECT 'bodies', count(DISTINCT content) FROM chunks UNION ALL SELECT 'occurrences', count(DISTINCT id) FROM chunks WHERE content IS NOT NULL UNION ALL SELECT 'differences', 0",
     "han_terms": """WITH d AS (SELECT doc_id, text, unnest(range(1, length(text)::BIGINT + 1)) AS i FROM documents WHERE regexp_matches(text, '\\p{Han}')),
 t AS (SELECT DISTINCT doc_id, 'c:' || substr(text, i, 1) AS term FROM d WHERE regexp_full_match(substr(text, i, 1), '\\p{Han}') UNION SELECT DISTINCT doc_id, 'b:' || substr(text, i, 2) FROM d WHERE regexp_full_match(substr(text, i, 2), '\\p{Han}{2}'))
 SELECT term, count(*) AS df FROM t GROUP BY ALL""",

@@ -61,7 +61,7 @@ def tombstone_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refresh_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actions from scan 3 to scan 4."""
     both = lambda a, b: a.join(b.select("project_id").distinct(), "project_id", "left_semi")
-    a, b = _scan(spark, sf_dir, 3), _scan(spark, sf_dir, 4)
+    a, b = (_scan(spark, sf_dir, n).withColumnRenamed("second", "modified") for n in (3, 4))
     return V.refresh_diff(both(a, b), both(b, a))
 
 
@@ -73,7 +73,7 @@ def relation_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "summaries").withColumn("at", T.instant(F.col("updated_at")))
-    return V.latest_per_key(s, ["id"], F.desc("at"), F.desc("updated_at"))
+    return V.latest_per_key(s, ["id"], F.col("at"), F.col("updated_at"))
 
 
 def superseded_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def superseded_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest summary of each target and type."""
     n = _notes(spark, sf_dir).withColumn("target", T.slugify(F.col("target_id")))
-    return V.latest_per_key(n, ["target_type", "target", "summary_type"], F.desc("id")).select("target_type", "target", "summary_type", "id")
+    return V.latest_per_key(n, ["target_type", "target", "summary_type"], F.col("id")).select("target_type", "target", "summary_type", "id")
 
 
 def confirmed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +190,7 @@ QUERIES = {
 _KEY = r"lower(regexp_replace(replace(rel_path, '\', '/'), '^(\./)+', ''))"
 _NOTES = "notes AS (SELECT * FROM summaries QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at::TIMESTAMPTZ DESC, updated_at DESC) = 1)"
 _SLUG = r"lower(regexp_replace(regexp_replace(regexp_replace(replace(trim(target_id), '\', '/'), '^.*/', ''), '[^A-Za-z0-9._-]+', '-', 'g'), '^[._-]+|[._-]+$', '', 'g'))"
-_SCAN = f"""scan AS (SELECT f.scan_no, f.project_id, {_KEY} AS rel_path, lower(sha256) AS sha256, size FROM file_snapshots f JOIN scan_jobs j ON f.project_id = j.project_id AND f.scan_no = j.scan_no AND j.state = 'committed'
+_SCAN = f"""scan AS (SELECT f.scan_no, f.project_id, {_KEY} AS rel_path, lower(sha256) AS sha256, size, floor(mtime) AS second FROM file_snapshots f JOIN scan_jobs j ON f.project_id = j.project_id AND f.scan_no = j.scan_no AND j.state = 'committed'
   WHERE f.scan_no IN (3, 4) QUALIFY row_number() OVER (PARTITION BY f.scan_no, f.project_id, {_KEY} ORDER BY loaded_at DESC) = 1)"""
 _MEMBER = f"""jobs AS (SELECT project_id, scan_no, row_number() OVER (PARTITION BY project_id ORDER BY scan_no) AS k, count(*) OVER (PARTITION BY project_id) AS last_k FROM scan_jobs WHERE state = 'committed'),
 seen AS (SELECT j.project_id, j.k, {_KEY} AS rel_path, lower(sha256) AS h, size AS z, floor(mtime) AS m FROM file_snapshots f JOIN jobs j ON f.project_id = j.project_id AND f.scan_no = j.scan_no
@@ -218,11 +218,11 @@ l AS (SELECT id, id AS ancestor, parent_id, 0::BIGINT AS depth FROM g UNION ALL
     "tombstone_filter": f"WITH {_MEMBER} SELECT project_id, rel_path, valid_from FROM m WHERE tombstone = 1 AND valid_to IS NULL",
     "refresh_diff": f"""WITH {_SCAN}, a AS (SELECT * FROM scan WHERE scan_no = 3 AND project_id IN (SELECT project_id FROM scan WHERE scan_no = 4)), b AS (SELECT * FROM scan WHERE scan_no = 4 AND project_id IN (SELECT project_id FROM scan WHERE scan_no = 3)),
 d AS (SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.rel_path, b.rel_path) AS rel_path, coalesce(a.sha256, b.sha256) AS sha, coalesce(a.size, b.size) AS size,
-  CASE WHEN a.rel_path IS NULL THEN 'new' WHEN b.rel_path IS NULL THEN 'tombstone' WHEN a.sha256 IS NOT DISTINCT FROM b.sha256 AND a.size IS NOT DISTINCT FROM b.size THEN 'unchanged' ELSE 'new_version' END AS action
+  CASE WHEN a.rel_path IS NULL THEN 'new' WHEN b.rel_path IS NULL THEN 'tombstone' WHEN a.size IS NOT DISTINCT FROM b.size AND (a.sha256 = b.sha256 OR ((a.sha256 IS NULL OR b.sha256 IS NULL) AND a.second = b.second)) THEN 'unchanged' ELSE 'new_version' END AS action
   FROM a FULL JOIN b ON a.project_id = b.project_id AND a.rel_path = b.rel_path),
-u AS (SELECT project_id, sha, size, action, min(rel_path) AS p FROM d WHERE sha IS NOT NULL AND action IN ('new', 'tombstone') GROUP BY ALL HAVING count(*) = 1),
-mv AS (SELECT o.project_id, o.p AS old, n.p AS new FROM u o JOIN u n ON o.project_id = n.project_id AND o.sha = n.sha AND o.size = n.size WHERE o.action = 'tombstone' AND n.action = 'new')
-SELECT d.project_id, d.rel_path, CASE WHEN mv.old IS NOT NULL THEN 'renamed' WHEN g.old IS NOT NULL AND d.action = 'tombstone' THEN 'renamed_away' ELSE d.action END AS action, mv.old AS moved_from
+u AS (SELECT project_id, coalesce(sha, '') AS sha, size, action, min(rel_path) AS p FROM d WHERE action IN ('new', 'tombstone') GROUP BY ALL HAVING count(*) = 1),
+mv AS (SELECT o.project_id, o.p AS old, n.p AS new, o.sha <> '' AS sure FROM u o JOIN u n ON o.project_id = n.project_id AND o.sha = n.sha AND o.size = n.size WHERE o.action = 'tombstone' AND n.action = 'new')
+SELECT d.project_id, d.rel_path, CASE WHEN mv.sure THEN 'renamed' WHEN NOT mv.sure THEN 'possible_move' WHEN g.sure AND d.action = 'tombstone' THEN 'renamed_away' ELSE d.action END AS action, mv.old AS moved_from
 FROM d LEFT JOIN mv ON d.project_id = mv.project_id AND d.rel_path = mv.new LEFT JOIN mv g ON d.project_id = g.project_id AND d.rel_path = g.old""",
     "relation_equality": f"""WITH {_SCAN}, a AS (SELECT project_id, rel_path, sha256 FROM scan WHERE scan_no = 3), b AS (SELECT project_id, rel_path, sha256 FROM scan WHERE scan_no = 4)
 SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",

@@ -78,11 +78,20 @@ def test_lineages(spark):
 
 
 def test_refresh_diff(spark):
-    s = "project_id string, rel_path string, sha256 string, size long"
-    old = [("p", "a", "1", 1), ("p", "b", "2", 2), ("p", "c", "3", 3), ("p", "d", "4", 4), ("p", "e", "5", 5), ("p", "f", "5", 5), ("p", "g", None, 6)]
-    new = [("p", "a", "1", 1), ("p", "b", "9", 2), ("p", "x", "3", 3), ("p", "y", "5", 5), ("p", "g", None, 6)]
-    got = {r.rel_path: (r.action, r.moved_from) for r in V.refresh_diff(spark.createDataFrame(old, s), spark.createDataFrame(new, s)).collect()}
-    assert got == {"a": ("unchanged", None), "b": ("new_version", None), "c": ("renamed_away", None), "x": ("renamed", "c"), "d": ("tombstone", None), "e": ("tombstone", None), "f": ("tombstone", None), "y": ("new", None), "g": ("unchanged", None)}
+    old = [("p", "same", "s1", 1, 5), ("p", "edit", "s2", 2, 5), ("p", "gone", "s3", 3, 5), ("p", "away", "s4", 4, 5), ("p", "nul", None, 7, 5), ("p", "nul2", None, 8, 5), ("p", "nul3", None, 9, None), ("p", "d1", "s5", 5, 5), ("p", "d2", "s5", 5, 5), ("p", "big", None, 70, 5), ("p", "twin1", None, 80, 5), ("p", "twin2", None, 80, 5)]
+    new = [("p", "same", "s1", 1, 9), ("p", "edit", "s9", 2, 5), ("p", "here", "s4", 4, 5), ("p", "fresh", "s8", 8, 5), ("p", "nul", None, 7, 5), ("p", "nul2", None, 8, 6), ("p", "nul3", None, 9, None), ("p", "d3", "s5", 5, 5), ("p", "bigger", None, 70, 8), ("p", "twin3", None, 80, 5), ("q", "here", "s3", 3, 5)]
+    s = "project_id string, rel_path string, sha256 string, size long, modified long"
+    got = {(r.project_id, r.rel_path): (r.action, r.moved_from) for r in V.refresh_diff(spark.createDataFrame(old, s), spark.createDataFrame(new, s)).collect()}
+    want = {"same": ("unchanged", None), "edit": ("new_version", None), "gone": ("tombstone", None), "away": ("renamed_away", None), "here": ("renamed", "away"), "fresh": ("new", None), "nul": ("unchanged", None), "nul2": ("new_version", None), "nul3": ("new_version", None)}
+    want |= {"d1": ("tombstone", None), "d2": ("tombstone", None), "d3": ("new", None), "big": ("tombstone", None), "bigger": ("possible_move", "big"), "twin1": ("tombstone", None), "twin2": ("tombstone", None), "twin3": ("new", None)}
+    assert got == {("p", k): v for k, v in want.items()} | {("q", "here"): ("new", None)}
+
+
+def test_latest_per_key(spark):
+    rows = [(1, 5, "a"), (1, 7, "b"), (1, 7, "c"), (2, None, "d"), (None, 1, "e"), (None, 2, "f")]
+    df = spark.createDataFrame(rows, "k long, at long, v string")
+    assert {(r.k, r.v) for r in V.latest_per_key(df, ["k"], F.col("at"), F.col("v")).collect()} == {(1, "c"), (2, "d"), (None, "f")}
+    assert {(r.k, r.v) for r in V.latest_per_key(df, ["k"], F.col("at"), F.col("v"), smallest=True).collect()} == {(1, "a"), (2, "d"), (None, "e")}
 
 
 def test_superseded_and_equality(spark):
