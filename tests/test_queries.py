@@ -1,5 +1,6 @@
 """Every registered query that has SQL, against DuckDB on the smallest tables."""
 
+import importlib
 import subprocess
 import sys
 from collections import Counter
@@ -29,7 +30,10 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n[:1] == "p" or not n[1:2].isdigit()))
+CORE = sorted(n for m in map(importlib.import_module, entry.MODULES) for n in m.ORACLES)
+
+
+@pytest.mark.parametrize("name", CORE)
 def test_matches_sql(spark, con, name):
     df = entry.queries()[name](spark, str(SF))
     cols = sorted(df.columns)
