@@ -161,6 +161,11 @@ def mix_documents(documents: DataFrame, mix_targets: DataFrame, seed: int = 0, v
     return used, shares(used, sized, mix_targets)
 
 
+def longest(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """source, longest: tokens of the longest document of each source."""
+    return token_counts(documents.where("source IS NOT NULL"), ["doc_id", "source"], vocabulary).groupBy("source").agg(F.max("n_tokens").alias("longest"))
+
+
 def shares(used: DataFrame, sized: DataFrame, mix_targets: DataFrame) -> DataFrame:
     """Per target: source, target_share, max_repeats, n_docs, n_tokens, used_tokens, actual_share, most_uses."""
     have = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
