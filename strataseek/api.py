@@ -7,9 +7,8 @@ counts reach the driver.
 from __future__ import annotations
 
 import hashlib
-import re
 from datetime import datetime, timezone
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,12 +20,14 @@ from strataseek.operators import fulltext as X
 from strataseek.operators import graph as G
 from strataseek.operators import ranking as R
 from strataseek.operators import versioning as V
+from strataseek.runtime import deadline
 from strataseek.sources import files
+from strataseek.sources import projects as P
 from strataseek.store import SCHEMAS, Store, Transaction
 from strataseek.streaming.ingest import append_evidence, append_texts, index_texts
 
 #: Fields of a compact result.
-COMPACT = ["kind", "id", "project_id", "rel_path", "score", "snippet", "snippet_start", "line_start", "line_end"]
+COMPACT = ["kind", "id", "project_id", "rel_path", "score", "snippet", "snippet_start", "line_start", "line_end", "version_id", "availability"]
 MODES = ("fts", "hybrid", "graph", "vector")
 _SUMMARY = ["summary_id", "target_type", "target_id", "summary_type", "evidence_ids", "record_type", "summary_family", "supersedes_id", "content_status", "provenance_review", "created_seq"]
 
@@ -41,13 +42,24 @@ def _bounded(value, low: int, high: int, name: str) -> int:
     return value
 
 
-def _slug(value: str) -> str:
-    """``functions.text.slugify`` for one Python string."""
-    words = re.findall(r"[A-Za-z0-9._-]+", re.split(r"[\\/]", value.strip())[-1])
-    return "-".join(words).strip(".-_").lower() or "item"
+_slug = T.slug_text
+
+
+def _bounded_read(f):
+    """Ends a read after ``KnowledgeBase.read_seconds``."""
+
+    @wraps(f)
+    def read(self, *args, **kwargs):
+        with deadline(self.spark, self.read_seconds):
+            return f(self, *args, **kwargs)
+
+    return read
 
 
 class KnowledgeBase:
+    #: Seconds a read may take.
+    read_seconds = 60.0
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
 
@@ -63,6 +75,24 @@ class KnowledgeBase:
         row = [(project_id, name or project_id, root)]
         return self.store.execute("register_root", operation_id, request, lambda t: t.append("projects", self.spark.createDataFrame(row, SCHEMAS["projects"])) and {"status": "registered", "project_id": project_id})
 
+    def register_all(self, operation_id: str, root: str, overrides: dict[str, str] | None = None) -> dict:
+        """Register every project below a folder, in one operation; those that are registered with the same folder stay as they are."""
+        found = P.discover(root, overrides)
+
+        def handler(txn: Transaction) -> dict:
+            known = {r.project_id: r.root for r in self.store.read("projects").select("project_id", "root").collect()}  # a registry, a row per project
+            rows = [(x["project_id"], x["name"], x["path"]) for x in found if known.get(x["project_id"]) != x["path"]]
+            if rows:
+                txn.append("projects", self.spark.createDataFrame(rows, SCHEMAS["projects"]))
+            return {"status": "registered", "projects": [r[0] for r in rows], "git": {x["project_id"]: x["git_head"] for x in found if x["is_git"]}}
+
+        return self.store.execute("register_all", operation_id, {"root": root, "overrides": overrides or {}}, handler)
+
+    def refresh_all(self, operation_id: str) -> dict:
+        """Refresh every registered project, each as an operation of its own, so that a broken run goes on where it stopped."""
+        ids = [r.project_id for r in self.store.read("projects").select("project_id").distinct().orderBy("project_id").collect()]
+        return {"status": "refreshed", "projects": {i: self.refresh(f"{operation_id}:{i}", i) for i in ids}}
+
     def _open_memberships(self, seq: int | None = None, history: bool = False) -> DataFrame:
         top = self.store.generation()["seq"] if seq is None else seq
         log = V.close_out(self.store.read("memberships", seq), ["project_id", "path_key"], "valid_from")
@@ -96,6 +126,10 @@ class KnowledgeBase:
             gone = actions.where("action IN ('tombstone', 'renamed_away')").select(F.lit(project_id).alias("project_id"), "path_key", F.col("path_key").alias("rel_path"), F.lit(None).cast("string").alias("version_id"), "action", F.lit(txn.seq).alias("valid_from"), F.lit(True).alias("tombstone"))
             live = kept.select(F.lit(project_id).alias("project_id"), "path_key", "rel_path", "version_id", "action", F.lit(txn.seq).alias("valid_from"), F.lit(False).alias("tombstone"))
             members = txn.append("memberships", live.unionByName(gone))
+            moved = actions.where("action = 'possible_move'")
+            if not moved.isEmpty():
+                name = lambda c: F.concat_ws(":", F.lit(project_id), c)
+                txn.append("relations", moved.select(name(F.col("moved_from")).alias("source_id"), F.lit("file").alias("target_type"), name(F.col("path_key")).alias("target_id"), F.lit("possible_move").alias("relation_type"), F.lit(0.5).alias("weight"), F.lit("candidate").alias("status"), F.lit("unreviewed").alias("provenance_review"), F.lit(txn.seq).alias("created_seq")))
             done = append_evidence(self.store, txn, versions)
             tally = {r.action: r.n for r in members.groupBy("action").agg(F.count("*").alias("n")).collect()}
             return {"status": "refreshed", "project_id": project_id, "actions": tally, "n_evidence": done}
@@ -134,7 +168,7 @@ class KnowledgeBase:
             ext = F.regexp_extract("path_key", r"\.([a-z0-9]+)$", 1)
             tags = self._open_memberships().select("project_id", F.lit("technology").alias("kind"), ext.alias("tag")).where("tag <> ''").distinct()
             names = self.store.read("projects").select("project_id", F.explode(F.split(F.lower("name"), r"[ _-]+")).alias("word")).distinct()
-            edges = G.tag_edges(tags).unionByName(G.project_edges(tags, names)).withColumn("created_seq", F.lit(txn.seq))
+            edges = G.tag_edges(tags).unionByName(G.project_edges(tags, names)).withColumns({"status": F.lit("candidate"), "provenance_review": F.lit("unreviewed"), "created_seq": F.lit(txn.seq)})
             return {"status": "saved", "n_edges": txn.append("relations", edges).count()}
 
         return self.store.execute("relations", operation_id, {}, handler)
@@ -157,7 +191,7 @@ class KnowledgeBase:
             tracked = self.store.read("memberships", seq).select("version_id").where("version_id IS NOT NULL").distinct().withColumn("tracked", F.lit(True))
             live = self._open_memberships(seq).select("version_id").distinct().withColumn("live", F.lit(True))
             occ = occ.join(tracked, "version_id", "left").join(live, "version_id", "left").where(F.coalesce("live", F.lit(False)) | F.col("tracked").isNull())
-        evidence = occ.select(F.lit(1).alias("domain"), "score", F.lit(0).cast("long").alias("order"), F.col("evidence_id").alias("id"), F.lit("evidence").alias("kind"), "project_id", "rel_path", "line_start", "line_end", "digest", "chars")
+        evidence = occ.select(F.lit(1).alias("domain"), "score", F.lit(0).cast("long").alias("order"), F.col("evidence_id").alias("id"), F.lit("evidence").alias("kind"), "project_id", "rel_path", "line_start", "line_end", "digest", "chars", "version_id")
         notes = V.superseded(self.store.read("summaries", seq).drop("content").withColumnRenamed("summary_id", "id"))
         if not include_history:
             notes = notes.where(~F.col("is_superseded"))
@@ -165,7 +199,7 @@ class KnowledgeBase:
         if project_id is not None:
             notes = notes.where(F.col("target_id") == _slug(project_id))
         none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-        note = notes.select(F.lit(0).alias("domain"), "score", (-F.col("id")).alias("order"), F.col("id").cast("string").alias("id"), F.lit("summary").alias("kind"), F.col("target_id").alias("project_id"), none("string", "rel_path"), none("long", "line_start"), none("long", "line_end"), none("string", "digest"), none("long", "chars"))
+        note = notes.select(F.lit(0).alias("domain"), "score", (-F.col("id")).alias("order"), F.col("id").cast("string").alias("id"), F.lit("summary").alias("kind"), F.col("target_id").alias("project_id"), none("string", "rel_path"), none("long", "line_start"), none("long", "line_end"), none("string", "digest"), none("long", "chars"), none("string", "version_id"))
         return note.unionByName(evidence)
 
     def _snippets(self, rows: list, phrases: list[list[str]], seq: int) -> dict[tuple, tuple]:
@@ -180,8 +214,20 @@ class KnowledgeBase:
         first = F.greatest(R.first_match(F.col("content"), phrases) - 48, F.lit(1))
         got = reduce(DataFrame.unionByName, parts).select("domain", "id", F.substr("content", first, F.lit(256)).alias("snippet"), (first - 1).alias("start")).collect()
         by = {(r.domain, r.id): (r.snippet, r.start) for r in got}
-        return {(r.domain, r.id): by[(r.domain, r.id if r.domain == 0 else f"{r.digest}:{r.chars}")] for r in rows}
+        return {(r.domain, r.id): by.get((r.domain, r.id if r.domain == 0 else f"{r.digest}:{r.chars}"), (None, None)) for r in rows}
+
+    def _availability(self, rows: list, seq: int) -> dict[str, str]:
+        """State of the snapshots behind at most a page of hits, by version: available, asset_unavailable or asset_corrupt."""
+        ids = sorted({r.version_id for r in rows if r.version_id})
+        if not ids:
+            return {}
+        v = self.store.read("versions", seq).where(F.col("version_id").isin(ids))
+        there = F.coalesce("raw", F.encode("text", "UTF-8"))
+        # a text that did not come as bytes has the digest of its text
+        state = F.when(there.isNull(), "asset_unavailable").when(F.sha2(there, 256) != F.col("sha256"), "asset_corrupt").otherwise("available")
+        return {r.version_id: r.state for r in v.select("version_id", state.alias("state")).collect()}
 
+    @_bounded_read
     def search_page(self, query: str, project_id: str | None = None, generation_id: str | None = None, include_history: bool = False, limit: int = 20, cursor: str | None = None) -> dict:
         """One page of ranked hits, summaries first, with a signed cursor to the next."""
         _check(isinstance(query, str) and 0 < len(query.strip()) <= 256, "query must have 1 to 256 characters")
@@ -190,18 +236,21 @@ class KnowledgeBase:
         key = bytes.fromhex(m["cursor_key"])
         scope = {"endpoint": "search", "query": query, "project_id": project_id, "generation_id": generation_id, "history": include_history}
         after = cursors.read(key, scope, cursor) if cursor else None
-        gen = self.store.generation(after[-1] if after else generation_id)
+        gen = self.store.cursor_generation(after[-1]) if after else self.store.generation(generation_id)
         keys = ["domain", "score", "order", "id"]
         rows = self.hits(query, gen["seq"], project_id, include_history)
         got = (R.after_key(rows, keys, after[:-1]) if after else rows).orderBy(*keys).limit(limit + 1).collect()
         cut = self._snippets(got, R.query_phrases(query), gen["seq"])
+        states = self._availability(got, gen["seq"])
         items = []
         for r in got:
             snippet, start = cut[(r.domain, r.id)]
-            items.append({k: v for k, v in r.asDict().items() if k not in ("digest", "chars")} | {"snippet": snippet, "snippet_start": start})
+            state = "available" if r.domain == 0 else states.get(r.version_id, "asset_unavailable")
+            items.append({k: v for k, v in r.asDict().items() if k not in ("digest", "chars")} | {"snippet": snippet, "snippet_start": start, "availability": state})
         base = {"status": "ok" if items else "no_match", "generation": gen["id"]}
         return cursors.pack_page(items, limit, base, lambda x: cursors.sign(key, scope, (*(x[k] for k in keys), gen["id"])), clip="snippet")
 
+    @_bounded_read
     def search(self, query: str, mode: str = "fts", top_k: int = 10, project_id: str | None = None) -> dict:
         """Best hits; ``hybrid`` adds relations of the first hits' projects, ``graph`` gives those only."""
         _check(mode in MODES, f"mode must be one of {MODES}")
@@ -216,6 +265,7 @@ class KnowledgeBase:
             out["relations"] = sorted((r.asDict() for r in edges), key=lambda e: (near.index(e["source_id"]), -e["weight"], e["relation_type"], e["target_id"]))
         return out
 
+    @_bounded_read
     def retrieve(self, query: str, project_id: str | None = None, top_k: int = 10) -> dict:
         """Compact results: listed fields only, whole records, within the byte budget."""
         _check(isinstance(query, str) and 0 < len(query.strip()) <= 256, "query must have 1 to 256 characters")
@@ -226,10 +276,12 @@ class KnowledgeBase:
         page = cursors.pack_page(rows, len(rows), {"status": found["status"], "generation": found["generation"]}, lambda x: None)
         return {"status": page["status"], "generation": page["generation"], "results": page["items"], "truncated": page["truncated"]}
 
+    @_bounded_read
     def answer(self, question: str, require_evidence: bool = True) -> dict:
         found = self.search(question, "hybrid", 8)
         return {**found, "status": "needs_evidence" if require_evidence and not found["results"] else "ok"}
 
+    @_bounded_read
     def audit_claims(self, text: str) -> dict:
         """Each claim of a text with its best hits."""
         gen = self.store.generation()
@@ -254,6 +306,7 @@ class KnowledgeBase:
             out.append({"claim": c, "status": status, "results": [r.id for r in sorted(rows or [], key=lambda r: (r.domain, r.score, r.order, r.id))]})
         return {"status": "ok", "claims": out}
 
+    @_bounded_read
     def resume_pack(self, target_role: str, top_projects: int = 10, per_project: int = 6) -> dict:
         """Projects that fit a role, each with its best evidence and newest notes."""
         words = [" ".join(p) for p in R.query_phrases(target_role)]
@@ -271,15 +324,18 @@ class KnowledgeBase:
     def _notes(self, seq: int | None = None) -> DataFrame:
         return V.superseded(self.store.read("summaries", seq).withColumnRenamed("summary_id", "id")).withColumnRenamed("id", "summary_id")
 
+    @_bounded_read
     def summary(self, summary_id: int, offset: int = 0, length: int = 4096) -> dict:
         return self._window(self.store.read("summaries").where(F.col("summary_id") == summary_id), _SUMMARY, "content", offset, length)
 
+    @_bounded_read
     def evidence(self, evidence_id: str, offset: int = 0, length: int = 4096, generation_id: str | None = None) -> dict:
         """Characters [offset, offset + length) of a piece of evidence, with what follows."""
         seq = self.store.generation(generation_id)["seq"]
         row = self.store.read("occurrences", seq).where(F.col("evidence_id") == evidence_id).dropDuplicates(["evidence_id"])
         return self._window(row.join(self.store.read("bodies", seq).dropDuplicates(["digest", "chars"]), ["digest", "chars"]), ["evidence_id", "version_id", "project_id", "rel_path", "line_start", "line_end", "char_start", "char_end"], "content", offset, length)
 
+    @_bounded_read
     def file_version(self, version_id: str, field: str = "text", offset: int = 0, length: int = 4096) -> dict:
         _check(field in ("text",), "only text can be read")
         return self._window(self.store.read("versions").where(F.col("version_id") == version_id), ["version_id", "project_id", "rel_path", "sha256", "size", "kind", "reason"], field, offset, length)
@@ -294,13 +350,14 @@ class KnowledgeBase:
         end = offset + len(r.content or "")
         return {"status": "ok", **{k: r[k] for k in meta}, "content": r.content, "total": r.total, "offset": offset, "next_offset": end if end < r.total else None}
 
+    @_bounded_read
     def summaries(self, target_type: str | None = None, target_id: str | None = None, summary_type: str | None = None, latest_only: bool = False, limit: int = 20, cursor: str | None = None) -> dict:
         """Notes of a target by ascending id, in pages."""
         _bounded(limit, 1, 50, "limit")
         key = bytes.fromhex(self.store.manifest()["cursor_key"])
         scope = {"endpoint": "summaries", "target": [target_type, target_id, summary_type], "latest": latest_only}
         after = cursors.read(key, scope, cursor) if cursor else None
-        gen = self.store.generation(after[-1] if after else None)
+        gen = self.store.cursor_generation(after[-1]) if after else self.store.generation()
         n = self._notes(gen["seq"])
         for col, v in (("target_type", target_type), ("target_id", target_id and _slug(target_id)), ("summary_type", summary_type)):
             n = n.where(F.col(col) == v) if v is not None else n
@@ -310,6 +367,7 @@ class KnowledgeBase:
         rows = [r.asDict() for r in n.orderBy("summary_id").limit(limit + 1).select(*_SUMMARY, "content", "is_current").collect()]
         return cursors.pack_page(rows, limit, {"status": "ok" if rows else "no_match", "generation": gen["id"]}, lambda x: cursors.sign(key, scope, (x["summary_id"], gen["id"])), clip="content")
 
+    @_bounded_read
     def resolve_legacy(self, snapshot_id: str, reference: str) -> dict:
         """Evidence behind an old reference ``path#ordinal`` in a generation."""
         path, _, ordinal = reference.rpartition("#")
@@ -319,10 +377,27 @@ class KnowledgeBase:
         rows = self.store.read("occurrences", seq).join(live, "version_id", "left_semi").where((T.path_key(F.col("rel_path")) == path.replace("\\", "/").lower()) & (F.col("ordinal") == int(ordinal))).select("evidence_id").limit(2).collect()
         return {"status": "missing" if not rows else "ambiguous" if len(rows) > 1 else "resolved", "evidence_id": rows[0].evidence_id if len(rows) == 1 else None}
 
+    @_bounded_read
     def related(self, item_id: str, depth: int = 1, relation_types: list[str] | None = None) -> dict:
         rows = G.bfs(self.store.read("relations"), item_id, depth, relation_types).orderBy("depth", "source_id", F.desc("weight"), "relation_type", "target_id").limit(1001).collect()
         return {"status": "ok" if rows else "no_match", "item_id": item_id, "relations": [r.asDict() for r in rows[:1000]], "truncated": len(rows) > 1000}
 
+    @_bounded_read
+    def neighbours(self, item_id: str, direction: str = "both", relation_type: str | None = None, limit: int = 20, generation_id: str | None = None, cursor: str | None = None) -> dict:
+        """Edges in, out or both of an item as of a generation, in pages, each with its effective status."""
+        _bounded(limit, 1, 100, "limit")
+        key = bytes.fromhex(self.store.manifest()["cursor_key"])
+        scope = {"endpoint": "neighbours", "item": item_id, "direction": direction, "type": relation_type, "generation": generation_id}
+        after = cursors.read(key, scope, cursor) if cursor else None
+        gen = self.store.cursor_generation(after[-1]) if after else self.store.generation(generation_id)
+        keys = ["relation_type", "source_id", "target_id", "direction", "created_seq"]
+        rows = G.neighbours(self.store.read("relations", gen["seq"]), item_id, direction, relation_type)
+        rows = rows.select(*keys, "target_type", "weight", G.effective_status(F.col("status"), F.col("provenance_review")).alias("effective_status"))
+        rows = (R.after_key(rows, keys, after[:-1]) if after else rows).orderBy(*keys).limit(limit + 1)
+        items = [r.asDict() for r in rows.collect()]
+        return cursors.pack_page(items, limit, {"status": "ok" if items else "no_match", "generation": gen["id"]}, lambda x: cursors.sign(key, scope, (*(x[k] for k in keys), gen["id"])))
+
+    @_bounded_read
     def project(self, project_id: str) -> dict:
         """A project with its files, notes and confirmed facts."""
         p = self.store.read("projects").where(F.col("project_id") == project_id).first()

@@ -34,6 +34,14 @@ class InvalidCursor(StoreError):
     code = "invalid_cursor"
 
 
+class CursorExpired(InvalidCursor):
+    code = "cursor_expired"
+
+
+class DeadlineExceeded(StoreError):
+    code, retryable = "query_deadline_exceeded", True
+
+
 class SchemaMismatch(StoreError):
     code = "schema_mismatch"
 

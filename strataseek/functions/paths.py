@@ -37,6 +37,19 @@ def skip_reason(kind: Column) -> Column:
     return F.when(kind == "sensitive", "sensitive_path").when(kind == "low_value", "policy_excluded").when(kind == "large", "file_too_large").when(kind == "unsupported", "unsupported_type")
 
 
+# Names and folders of files that tell most about a project.
+_HIGH_NAMES = "agents.md pyproject.toml package.json requirements.txt environment.yml setup.py dockerfile docker-compose.yml makefile tsconfig.json"
+_HIGH_FOLDERS = "docs doc tests test submission"
+_HIGH_WORDS = "report result metric benchmark eval"
+
+
+def high_value(path: Column) -> Column:
+    """Whether a file ought to be indexed first of all: readmes, project files, documents, tests, results."""
+    p = F.lower(F.translate(path, "\\", "/"))
+    name = F.element_at(F.split(p, "/"), -1)
+    return name.startswith("readme") | name.isin(*_HIGH_NAMES.split()) | p.rlike("^(?:" + "|".join(_HIGH_FOLDERS.split()) + ")/") | p.rlike("|".join(_HIGH_WORDS.split()))
+
+
 def triage(path: Column) -> Column:
     """Sensitive paths in four classes: key, environment, credential, token; null for others."""
     p = F.lower(F.translate(path, "\\", "/"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ def slugify(c: Column) -> Column:
     return F.when(c.isNull(), None).otherwise(F.when(bare == "", "item").otherwise(bare))
 
 
+def slug_text(value: str) -> str:
+    """``slugify`` for a Python string."""
+    last = re.split(r"[\\/]", value.strip())[-1]
+    return re.sub(r"[^A-Za-z0-9._-]+", "-", last).strip(".-_").lower() or "item"
+
+
 def path_key(c: Column) -> Column:
     """Comparable form of a relative path: ``/`` as separator, no leading ``./``, lower case."""
     return F.lower(F.regexp_replace(F.translate(c, "\\", "/"), r"^(\./)+", ""))
@@ -91,6 +99,27 @@ def snippet(c: Column, start: Column, before: int = 48, width: int = 256) -> Col
     return F.substr(c, F.greatest(start - before, F.lit(1)), F.lit(width))
 
 
+def bracketed(c: Column, words: list[str], before: int = 8, width: int = 24) -> Column:
+    """``width`` terms of a text around the first of ``words`` (folded), each of them in brackets; null where none stands in it.
+
+    Terms are joined by single blanks; what is left out at an end shows as ``...``.
+    """
+    raw = F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), 0)
+    hit = lambda t: fold(t).isin(words)
+    first = F.array_position(F.transform(raw, hit), True)
+    start = F.greatest(first - before, F.lit(1)).cast("int")
+    part = F.transform(F.slice(raw, start, F.lit(width)), lambda t: F.when(hit(t), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
+    text = F.concat(F.when(start > 1, "... ").otherwise(""), F.array_join(part, " "), F.when(start + width - 1 < F.size(raw), " ...").otherwise(""))
+    return F.when(first > 0, text)
+
+
+def markdown_table(names: list[str], rows: list[tuple]) -> str:
+    """Rows as a Markdown table; bars and line ends in cells are escaped."""
+    cell = lambda v: re.sub(r"\s+", " ", "" if v is None else str(v)).replace("|", "\\|").strip()
+    line = lambda vs: "| " + " | ".join(map(cell, vs)) + " |"
+    return "\n".join([line(names), line(["---"] * len(names)), *map(line, rows)])
+
+
 def window(c: Column, offset: Column | int, length: Column | int) -> Column:
     """Characters [offset, offset + length) with offset from 0."""
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataseek.runtime import materialise
@@ -80,6 +80,11 @@ def bfs(edges: DataFrame, start: str, depth: int, relation_types: list[str] | No
     return reduce(DataFrame.unionByName, out)
 
 
+def effective_status(status: Column, review: Column) -> Column:
+    """confirmed only for what is marked so and reviewed; candidate as marked; else unconfirmed."""
+    return F.when((status == "confirmed") & (review == "reviewed"), "confirmed").when(status == "candidate", "candidate").otherwise("unconfirmed")
+
+
 def neighbours(edges: DataFrame, item: str, direction: str = "both", relation_type: str | None = None) -> DataFrame:
     """Edges in, out or both of an item, each with its direction."""
     if direction not in ("in", "out", "both"):

@@ -44,6 +44,34 @@ def path_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "files").select("id", P.triage(F.col("rel_path")).alias("risk")).where("risk IS NOT NULL").distinct()
 
 
+def high_value_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = one_per_key(table(spark, sf_dir, "files").select("id", "project_id", "rel_path", "indexed"), "id")
+    return f.groupBy("project_id").agg(F.count_if(P.high_value(F.col("rel_path"))).alias("n_high_value"), F.count_if(P.high_value(F.col("rel_path")) & (F.col("indexed") == 1)).alias("n_indexed"))
+
+
+def priority_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty best chunks: by score, then those of priority files first."""
+    hits = search_table(spark, sf_dir, "chunks", "id", "content", "snapshot claim")
+    kinds = one_per_key(table(spark, sf_dir, "chunks").select("id", "kind"), "id")
+    j = hits.join(kinds, "id").withColumn("behind", F.when(F.col("kind") == "priority", 0).otherwise(1))
+    return R.page(j, ["score", "behind", "id"], 50).select("id", "kind", "score")
+
+
+def like_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substring search in notes: matches of the type or target before matches of the text only, newest first."""
+    n = one_per_key(table(spark, sf_dir, "summaries").select("id", "target_id", "summary_type", "content"), "id")
+    has = lambda c: F.lower(c).contains("parser")
+    place = F.when(has("target_id"), 0).when(has("summary_type"), 1).otherwise(2)
+    n = n.where(has("target_id") | has("summary_type") | has("content")).select("id", place.alias("place"), (-F.col("id")).alias("newest"))
+    return R.page(n, ["place", "newest"], 40).select("id", "place")
+
+
+def bracket_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 words around the first hit, hits in brackets."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.bracketed(F.col("text"), ["evidence", "claim"]).alias("snippet"))
+    return d.where("snippet IS NOT NULL")
+
+
 def secret_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that the index must refuse."""
     return table(spark, sf_dir, "chunks").where(F.col("content").rlike(P.SECRET_TEXT)).select("id").distinct()
@@ -208,7 +236,7 @@ def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        slugify_paths, compact_lines, claim_split, line_counts, classify_files, path_triage, secret_filter, lossless_chunks, chunk_lines, lossless_round_trip, chunk_lines_text, readme_choice, domain_keywords, technologies, audit_claims, resume_pack, hybrid_related,
+        high_value_files, priority_sort, like_order, bracket_snippets, slugify_paths, compact_lines, claim_split, line_counts, classify_files, path_triage, secret_filter, lossless_chunks, chunk_lines, lossless_round_trip, chunk_lines_text, readme_choice, domain_keywords, technologies, audit_claims, resume_pack, hybrid_related,
         join_inner, join_left, join_semi, join_anti, latest_per_key, topk_per_group, running_offsets, union_hits, session_counts,
     )
 }
@@ -231,6 +259,15 @@ ORACLES = {
     "compact_lines": r"SELECT doc_id, CASE WHEN length(f) <= 80 THEN f ELSE regexp_replace(substr(f, 1, 79), '\s+$', '') || '…' END AS line FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)",
     "claim_split": f"WITH s AS (SELECT DISTINCT id, content FROM summaries), l AS (SELECT id, {_CLAIMS.format('content')} AS c FROM s) SELECT id, (generate_subscripts(c, 1) - 1)::INT AS ordinal, unnest(c) AS claim FROM l",
     "line_counts": r"SELECT DISTINCT id, (length(x) - length(replace(x, chr(10), '')) + CASE WHEN x LIKE '%' || chr(10) THEN 0 ELSE 1 END)::INT AS n_lines FROM (SELECT id, regexp_replace(content, '\r\n|\r', chr(10), 'g') AS x FROM chunks)",
+    "high_value_files": r"""WITH f AS (SELECT DISTINCT id, project_id, indexed, lower(replace(rel_path, '\', '/')) AS p FROM files), h AS (SELECT *, starts_with(split_part(p, '/', -1), 'readme') OR split_part(p, '/', -1) IN ('agents.md', 'pyproject.toml', 'package.json', 'requirements.txt', 'environment.yml', 'setup.py', 'dockerfile', 'docker-compose.yml', 'makefile', 'tsconfig.json')
+  OR split_part(p, '/', 1) IN ('docs', 'doc', 'tests', 'test', 'submission') AND contains(p, '/') OR contains(p, 'report') OR contains(p, 'result') OR contains(p, 'metric') OR contains(p, 'benchmark') OR contains(p, 'eval') AS hv FROM f)
+SELECT project_id, count(*) FILTER (hv) AS n_high_value, count(*) FILTER (hv AND indexed = 1) AS n_indexed FROM h GROUP BY ALL""",
+    "priority_sort": f"""WITH c AS (SELECT DISTINCT id, kind, content FROM chunks), {_score('c', 'id', 'content', ['snapshot', 'claim'])} SELECT id, kind, score FROM ranked ORDER BY score, CASE WHEN kind = 'priority' THEN 0 ELSE 1 END, id LIMIT 50""",
+    "like_order": """WITH n AS (SELECT id, max_by(target_id, (target_id, summary_type, content)) AS target_id, max_by(summary_type, (target_id, summary_type, content)) AS summary_type, max_by(content, (target_id, summary_type, content)) AS content FROM summaries GROUP BY id)
+SELECT id, CASE WHEN target_id ILIKE '%parser%' THEN 0 WHEN summary_type ILIKE '%parser%' THEN 1 ELSE 2 END AS place FROM n WHERE target_id ILIKE '%parser%' OR summary_type ILIKE '%parser%' OR content ILIKE '%parser%' ORDER BY place, id DESC LIMIT 40""",
+    "bracket_snippets": r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS ws FROM documents), f AS (SELECT doc_id, ws, list_position(list_transform(ws, lambda x: lower(x) IN ('evidence', 'claim')), true) AS first FROM w),
+s AS (SELECT doc_id, ws, greatest(first - 8, 1) AS start FROM f WHERE first > 0)
+SELECT doc_id, CASE WHEN start > 1 THEN '... ' ELSE '' END || array_to_string(list_transform(ws[start:start + 23], lambda x: CASE WHEN lower(x) IN ('evidence', 'claim') THEN '[' || x || ']' ELSE x END), ' ') || CASE WHEN start + 23 < len(ws) THEN ' ...' ELSE '' END AS snippet FROM s""",
     # spelled out with values of its own, so that a wrong pattern of the engine shows
     "classify_files": r"""WITH f AS (SELECT DISTINCT id, size, lower(replace(rel_path, '\', '/')) AS p FROM files), n AS (SELECT *, split_part(p, '/', -1) AS name, split_part(split_part(p, '/', -1), '.', -1) AS ext, contains(split_part(p, '/', -1), '.') AS dotted FROM f),
 k AS (SELECT id, CASE

@@ -23,6 +23,21 @@ def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.lineages(_generations(spark, sf_dir))
 
 
+def lineage_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each committed scan that the third published scan of its project can see: written by it or an ancestor."""
+    g = _generations(spark, sf_dir)
+    third = V.lineages(g).where("depth = 2").select(F.col("id").alias("generation_id"))
+    rows = table(spark, sf_dir, "file_snapshots").join(table(spark, sf_dir, "scan_jobs").where("state = 'committed'").select("project_id", "scan_no", F.col("operation_id").alias("generation")), ["project_id", "scan_no"])
+    scope = V.lineages(g).join(third, F.col("id") == F.col("generation_id"), "left_semi").select(F.col("ancestor").alias("generation"), F.col("id").alias("seen_from"))
+    return rows.join(scope, "generation").groupBy("seen_from", "generation").agg(F.countDistinct(T.path_key(F.col("rel_path"))).alias("n_files"))
+
+
+def effective_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes by what their marks amount to."""
+    n = _notes(spark, sf_dir)
+    return n.groupBy(G.effective_status(F.col("content_status"), F.col("provenance_review")).alias("status")).agg(F.count("*").alias("n"))
+
+
 def _scan(spark: SparkSession, sf_dir: str, scan_no: int) -> DataFrame:
     jobs = table(spark, sf_dir, "scan_jobs").where(f"state = 'committed' AND scan_no = {scan_no}").select("project_id")
     rows = table(spark, sf_dir, "file_snapshots").where(f"scan_no = {scan_no}").join(F.broadcast(jobs), "project_id")
@@ -182,7 +197,7 @@ def evidence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lineage_closure, memberships, asof_membership, current_vs_history, tombstone_filter, refresh_diff, relation_equality, superseded_flags, latest_summary, confirmed_facts, citations, legacy_alias_resolve,
+        lineage_closure, lineage_scope, effective_status, memberships, asof_membership, current_vs_history, tombstone_filter, refresh_diff, relation_equality, superseded_flags, latest_summary, confirmed_facts, citations, legacy_alias_resolve,
         shared_tag_edges, concept_counts, bfs_depth2, neighbours_page, store_stats, filtered_counts, status_histogram, body_dedup, body_orphans, evidence_window,
     )
 }
@@ -212,6 +227,10 @@ edges AS (SELECT project_id AS source_id, 'concept' AS target_type, tag AS targe
 ORACLES = {
     "lineage_closure": """WITH RECURSIVE g AS (SELECT operation_id AS id, lag(operation_id) OVER (PARTITION BY project_id ORDER BY scan_no) AS parent_id FROM scan_jobs WHERE state = 'committed'),
 l AS (SELECT id, id AS ancestor, parent_id, 0::BIGINT AS depth FROM g UNION ALL SELECT l.id, g.id, g.parent_id, l.depth + 1 FROM l JOIN g ON l.parent_id = g.id) SELECT id, ancestor, depth FROM l""",
+    "lineage_scope": f"""WITH g AS (SELECT operation_id, project_id, scan_no, row_number() OVER (PARTITION BY project_id ORDER BY scan_no) AS k FROM scan_jobs WHERE state = 'committed'),
+seen AS (SELECT a.operation_id AS seen_from, b.operation_id AS generation, b.project_id, b.scan_no FROM g a JOIN g b ON a.project_id = b.project_id AND b.k <= a.k WHERE a.k >= 3)
+SELECT seen_from, generation, count(DISTINCT {_KEY}) AS n_files FROM seen JOIN file_snapshots USING (project_id, scan_no) GROUP BY ALL""",
+    "effective_status": f"WITH {_NOTES} SELECT CASE WHEN content_status = 'confirmed' AND provenance_review = 'reviewed' THEN 'confirmed' WHEN content_status = 'candidate' THEN 'candidate' ELSE 'unconfirmed' END AS status, count(*) AS n FROM notes GROUP BY ALL",
     "memberships": f"WITH {_MEMBER} SELECT * FROM m",
     "asof_membership": f"WITH {_MEMBER} SELECT project_id, count(*) AS n_files FROM m WHERE valid_from <= 3 AND tombstone = 0 AND (valid_to IS NULL OR valid_to > 3) GROUP BY ALL",
     "current_vs_history": f"WITH {_MEMBER} SELECT project_id, count(*) FILTER (valid_to IS NULL) AS n_current, count(*) FILTER (valid_to IS NOT NULL) AS n_history FROM m WHERE tombstone = 0 GROUP BY ALL",

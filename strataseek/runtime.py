@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataseek.errors import DeadlineExceeded
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one Parquet table of a data directory."""
@@ -55,6 +59,37 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
+@contextmanager
+def deadline(spark: SparkSession, seconds: float):
+    """Cancel the Spark jobs of this thread after ``seconds`` and raise DeadlineExceeded. Inner deadlines do not end outer ones."""
+    sc = spark.sparkContext
+    outer = sc.getLocalProperty("spark.jobGroup.id")
+    if outer and outer.startswith("deadline-"):
+        yield
+        return
+    group, fired = f"deadline-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        fired.set()
+        sc.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    timer.daemon = True
+    sc.setJobGroup(group, "bounded read", interruptOnCancel=True)
+    timer.start()
+    try:
+        yield
+        if fired.is_set():
+            raise DeadlineExceeded(f"the read took more than {seconds} s")
+    except Exception as e:
+        if fired.is_set() and not isinstance(e, DeadlineExceeded):
+            raise DeadlineExceeded(f"the read took more than {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", outer)
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new folder below the shared one, gone when the driver ends."""
     path = f"{shared_dir(spark)}/strataseek/{uuid.uuid4().hex}"

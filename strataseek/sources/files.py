@@ -96,6 +96,20 @@ def decode(raw: Column) -> Column:
     return F.when(~s.rlike(_BAD), s)
 
 
+def is_binary(raw: Column) -> Column:
+    """Whether the first 4096 bytes hold a NUL, or more than a quarter of control bytes; empty content is none."""
+    head = F.substring(raw, 1, 4096)
+    # bytes as Latin-1 characters, one each
+    text = F.decode(head, "ISO-8859-1")
+    odd = F.length(text) - F.length(F.regexp_replace(text, r"[\x00-\x08\x0e-\x1f]", ""))
+    return (F.octet_length(head) > 0) & (text.contains("\0") | (odd > F.octet_length(head) * 0.25))
+
+
+def decode_lenient(raw: Column) -> Column:
+    """Text of bytes that are not binary: UTF-8 without its mark, GB18030, else Latin-1; null for binary content."""
+    return F.when(~is_binary(raw), F.coalesce(decode(raw), F.decode(raw, "ISO-8859-1")))
+
+
 def notebook(text: Column) -> Column:
     """Markdown and code cells of a notebook joined by blank lines; the raw text if it is no notebook."""
     doc = F.from_json(text, "cells array<struct<cell_type:string,source:string>>")
