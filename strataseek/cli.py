@@ -9,7 +9,7 @@ from strataseek.api import KnowledgeBase
 from strataseek.errors import envelope
 
 VERBS = [
-    "init", "register_root", "refresh", "build_relations", "save_summary", "search", "search_page", "retrieve", "answer", "audit_claims", "resume_pack", "summary", "summaries", "evidence", "file_version", "resolve_legacy", "related", "project",
+    "init", "register_root", "register_all", "refresh", "refresh_all", "build_relations", "save_summary", "search", "search_page", "retrieve", "answer", "audit_claims", "resume_pack", "summary", "summaries", "evidence", "file_version", "resolve_legacy", "related", "neighbours", "project",
     "list_projects", "stats", "verify", "resource",
 ]
 MAX_REQUEST = 1 << 20
