@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,14 @@ from pyspark.sql import functions as F
 REPEATED_MAX = 500_000
 
 
-def _repeated(df: DataFrame, key: str) -> DataFrame | None:
-    """The keys of more than one row, broadcast where they are few; None if there are none."""
-    keys = df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col(key).isNotNull() & (F.col("__n") > 1)).select(key)
-    n = keys.limit(REPEATED_MAX + 1).count()
-    return None if n == 0 else F.broadcast(keys) if n <= REPEATED_MAX else keys
+def _repeated(df: DataFrame, key: str) -> tuple[DataFrame | None, bool]:
+    """The keys of more than one row, broadcast where they are few (None if there are none), and whether several rows have no key."""
+    keys = df.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(key)
+    first = keys.limit(REPEATED_MAX + 2).agg(F.count(key).alias("n"), F.count_if(F.col(key).isNull()).alias("nulls")).first()
+    known = keys.where(F.col(key).isNotNull())
+    # beyond the bound the null may not have been met; then it is taken to be there
+    nulls = first.nulls > 0 or first.n > REPEATED_MAX
+    return (None if first.n == 0 else F.broadcast(known) if first.n <= REPEATED_MAX else known), nulls
 
 
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
@@ -23,7 +28,7 @@ def one_per_key(df: DataFrame, key: str) -> DataFrame:
     themselves, often wide, only those of repeated keys are.
     """
     rest = [c for c in df.columns if c != key]
-    repeated = _repeated(df, key)
+    repeated, _ = _repeated(df, key)
     if repeated is None:
         return df
     kept = df.join(repeated, key, "left_semi").groupBy(key).agg(F.max(F.struct(*rest)).alias("__row"))
@@ -35,9 +40,13 @@ def distinct_by_key(df: DataFrame, key: str) -> DataFrame:
 
     As in ``one_per_key`` only rows of repeated keys are shuffled.
     """
-    repeated = _repeated(df, key)
-    bare = df.where(F.col(key).isNull()).distinct()
-    known = df.where(F.col(key).isNotNull())
-    if repeated is None:
-        return known.unionByName(bare)
-    return known.join(repeated, key, "left_anti").unionByName(known.join(repeated, key, "left_semi").distinct()).unionByName(bare)
+    repeated, nulls = _repeated(df, key)
+    if repeated is None and not nulls:
+        return df
+    once = df if repeated is None else df.join(repeated, key, "left_anti")  # keeps rows without a key
+    parts = [once.where(F.col(key).isNotNull()) if nulls else once]
+    if nulls:
+        parts.append(df.where(F.col(key).isNull()).distinct())
+    if repeated is not None:
+        parts.append(df.join(repeated, key, "left_semi").distinct())
+    return reduce(DataFrame.unionByName, parts)

@@ -15,7 +15,8 @@ from strataseek.operators import graph as G
 from strataseek.operators import ranking as R
 from strataseek.operators import skew
 from strataseek.operators import versioning as V
-from strataseek.operators.dedup import one_per_key
+from strataseek.operators import dedup
+from strataseek.operators.dedup import distinct_by_key, one_per_key
 
 
 def brute_bm25(texts, phrases):
@@ -123,3 +124,13 @@ def test_join_facts(spark, monkeypatch):
     facts = spark.createDataFrame([("hot", 30, "h"), *[(f"k{i}", 1, "c") for i in range(0, 60, 2)]], "k string, n long, f string")
     out = skew.join_facts(rows, facts, ["k"], "n", 61, share=0.1).collect()
     assert Counter(r.f for r in out) == {"h": 30, "c": 30} and len({r.i for r in out}) == 60
+
+
+def test_distinct_by_key(spark, monkeypatch):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "d"), (None, "e"), (3, None), (3, None)]
+    for keep in (rows, [r for r in rows if r[0] is not None], [(2, "c"), (None, "d")], [(2, "c")], [(1, "a"), (1, "a"), (None, "x")]):
+        df = spark.createDataFrame(keep, "id long, v string")
+        for bound in (500_000, 0):
+            monkeypatch.setattr(dedup, "REPEATED_MAX", bound)
+            assert Counter(map(tuple, distinct_by_key(df, "id").collect())) == Counter(dict.fromkeys(keep, 1))
+            assert len({r.id for r in one_per_key(df, "id").collect() if r.id}) == len({k for k, _ in keep if k})

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataseek.api import KnowledgeBase
-from strataseek.errors import CursorExpired, DeadlineExceeded
+from strataseek.errors import CursorExpired, DeadlineExceeded, NotPublished
 from strataseek.functions.text import markdown_table, slug_text
 from strataseek.operators import graph as G
 from strataseek.runtime import deadline
@@ -111,3 +111,22 @@ def test_possible_move(spark, root, tmp_path_factory):
     assert kb.refresh("p3", "beta")["actions"] == {"possible_move": 1, "tombstone": 1}
     edge = kb.related("beta:old.bin")["relations"][0]
     assert (edge["target_id"], edge["relation_type"]) == ("beta:new.bin", "possible_move")
+
+
+def test_compaction(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path))
+    kb.init()
+    text = lambda i: spark.createDataFrame([("p", f"{i}.md", f"marble text number {i}")], "project_id string, rel_path string, text string")
+    for i in range(3):
+        kb.ingest_texts(f"t{i}", text(i), str(i))
+    second = kb.store.manifest()["generations"][2]["id"]
+    before = kb.search("marble")["results"]
+    assert kb.store.compact(second)["tables"] == ["bodies", "index_stats", "memberships", "occurrences", "postings", "versions"]
+    assert kb.search("marble")["results"] == before and len(kb.search_page("marble", generation_id=second)["items"]) == 2
+    with pytest.raises(NotPublished):
+        kb.search_page("marble", generation_id="g0")
+    kb.store.compact()
+    assert kb.search("marble")["results"] == before and {t: len(p) for t, p in kb.store.manifest()["parts"].items()}["postings"] == 1
+    assert len(list((tmp_path / "tables" / "postings").iterdir())) == 1
+    kb.ingest_texts("t9", text(9), "9")
+    assert len(kb.search("marble")["results"]) == 4
