@@ -20,7 +20,7 @@ from strataseek.operators import fulltext as X
 from strataseek.operators import graph as G
 from strataseek.operators import ranking as R
 from strataseek.operators import versioning as V
-from strataseek.runtime import deadline
+from strataseek.runtime import deadline, materialise
 from strataseek.sources import files
 from strataseek.sources import projects as P
 from strataseek.store import SCHEMAS, Store, Transaction
@@ -88,37 +88,53 @@ class KnowledgeBase:
 
         return self.store.execute("register_all", operation_id, {"root": root, "overrides": overrides or {}}, handler)
 
-    def refresh_all(self, operation_id: str) -> dict:
+    def refresh_all(self, operation_id: str, mode: str = "full") -> dict:
         """Refresh every registered project, each as an operation of its own, so that a broken run goes on where it stopped."""
         ids = [r.project_id for r in self.store.read("projects").select("project_id").distinct().orderBy("project_id").collect()]
-        return {"status": "refreshed", "projects": {i: self.refresh(f"{operation_id}:{i}", i) for i in ids}}
+        return {"status": "refreshed", "projects": {i: self.refresh(f"{operation_id}:{i}", i, mode=mode) for i in ids}}
 
     def _open_memberships(self, seq: int | None = None, history: bool = False) -> DataFrame:
         top = self.store.generation()["seq"] if seq is None else seq
         log = V.close_out(self.store.read("memberships", seq), ["project_id", "path_key"], "valid_from")
         return V.as_of(log, top, history)
 
-    def discover(self, project_id: str, seq: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """Scanned files of a project, and the actions that bring the store up to date."""
+    def discover(self, project_id: str, seq: int | None = None, mode: str = "full") -> tuple[DataFrame, DataFrame]:
+        """Scanned files of a project, and the actions that bring the store up to date.
+
+        Mode ``full`` reads every file; ``metadata`` takes files of the same
+        size and time as known and opens the others only. policy_hidden is a
+        file that was indexed and may be no longer.
+        """
+        _check(mode in ("full", "metadata"), "mode must be full or metadata")
         root = self.store.read("projects", seq).where(F.col("project_id") == project_id).select("root").first()
         if root is None:
             raise NotFound(f"project {project_id} is not registered")
-        found = files.read(self.spark, root.root).withColumn("path_key", T.path_key(F.col("rel_path")))
-        now = self._open_memberships(seq).where(F.col("project_id") == project_id).join(self.store.read("versions", seq).select("version_id", "sha256", "size", "modified"), "version_id")
+        now = self._open_memberships(seq).where(F.col("project_id") == project_id).join(self.store.read("versions", seq).select("version_id", "sha256", "size", "modified", F.col("reason").alias("old_reason")), "version_id")
+        listed = None
+        if mode == "metadata":
+            now = materialise(now)
+            # a listing tells which files are still there as they were; their content is not read
+            listed = materialise(files.scan(self.spark, root.root).select(T.path_key(F.col("rel_path")).alias("path_key"), "size", "modified"))
+            same = now.where("modified IS NOT NULL").join(listed, ["path_key", "size", "modified"], "left_semi")
+        found = files.read(self.spark, root.root, known=None if listed is None else same).withColumn("path_key", T.path_key(F.col("rel_path")))
         cols = lambda df: df.select(F.lit(project_id).alias("project_id"), F.col("path_key").alias("rel_path"), "sha256", "size", "modified")
-        actions = V.refresh_diff(cols(now), cols(found)).withColumnRenamed("rel_path", "path_key")
+        there = cols(found) if listed is None else cols(found).unionByName(cols(same))
+        actions = V.refresh_diff(cols(now), there).withColumnRenamed("rel_path", "path_key")
         earlier = self.store.read("memberships", seq).where(F.col("project_id") == project_id).select("path_key").distinct().withColumn("before", F.lit(True))
-        actions = actions.join(earlier, "path_key", "left").withColumn("action", F.when((F.col("action") == "new") & F.coalesce("before", F.lit(False)), "restored").otherwise(F.col("action"))).drop("before")
-        return found, actions
+        shown = now.where("old_reason IS NULL").select("path_key", F.lit(True).alias("shown"))
+        barred = found.where("reason IS NOT NULL AND reason <> 'read_failed'").select("path_key", F.lit(True).alias("barred"))
+        actions = actions.join(earlier, "path_key", "left").join(shown, "path_key", "left").join(barred, "path_key", "left")
+        action = F.when((F.col("action") == "new") & F.coalesce("before", F.lit(False)), "restored").when((F.col("action") == "new_version") & F.col("shown") & F.col("barred"), "policy_hidden").otherwise(F.col("action"))
+        return found, actions.withColumn("action", action).drop("before", "shown", "barred")
 
-    def refresh(self, operation_id: str, project_id: str, expected_parent: str | None = None) -> dict:
+    def refresh(self, operation_id: str, project_id: str, expected_parent: str | None = None, mode: str = "full") -> dict:
         """Bring a project up to date: new versions, renames, tombstones, chunks; one new generation."""
 
         def handler(txn: Transaction) -> dict:
             parent = self.store.generation()
             if expected_parent is not None and parent["id"] != expected_parent:
                 raise GenerationConflict(f"the newest generation is {parent['id']}")
-            found, actions = self.discover(project_id)
+            found, actions = self.discover(project_id, mode=mode)
             fresh = found.join(actions.where("action NOT IN ('unchanged', 'tombstone', 'renamed_away')").select("path_key", "action"), "path_key")
             fresh = fresh.withColumn("version_id", F.sha2(F.concat_ws("\x1f", F.lit(project_id), "path_key", F.coalesce("sha256", F.lit("")), F.col("size").cast("string"), F.lit(str(txn.seq))), 256)).withColumn("project_id", F.lit(project_id))
             versions = txn.append("versions", fresh.select("version_id", "project_id", "rel_path", "sha256", "size", "kind", "reason", "modified", "raw", "text"))
@@ -134,7 +150,7 @@ class KnowledgeBase:
             tally = {r.action: r.n for r in members.groupBy("action").agg(F.count("*").alias("n")).collect()}
             return {"status": "refreshed", "project_id": project_id, "actions": tally, "n_evidence": done}
 
-        return self.store.execute("refresh", operation_id, {"project_id": project_id, "expected_parent": expected_parent}, handler)
+        return self.store.execute("refresh", operation_id, {"project_id": project_id, "expected_parent": expected_parent, **({} if mode == "full" else {"mode": mode})}, handler)
 
     def ingest_texts(self, operation_id: str, rows: DataFrame, label: str) -> dict:
         """Append texts (project_id, rel_path, text) that do not come from a folder."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from strataseek.functions import paths as P
+from strataseek.functions.text import path_key
 from strataseek.runtime import materialise
 
 #: Folders that are never entered.
@@ -35,15 +36,21 @@ def scan(spark: SparkSession, root: str, ignored: str = IGNORED) -> DataFrame:
 READ_PATHS = 5_000
 
 
-def read(spark: SparkSession, root: str, ignored: str = IGNORED) -> DataFrame:
+def read(spark: SparkSession, root: str, ignored: str = IGNORED, known: DataFrame | None = None) -> DataFrame:
     """``scan`` with raw content, digest and text of the files that may be indexed.
 
     The folder is listed first; then only files with a class that is indexed
     are opened, in blocks of READ_PATHS paths, so content of sensitive, large
     and unsupported files is never read. A text with a literal secret gets the
     reason ``secret_content`` and neither raw content nor text.
+
+    ``known``: path_key, size, modified of files whose content is known
+    already; files that agree with it are neither opened nor returned.
     """
-    meta = materialise(scan(spark, root, ignored))
+    meta = scan(spark, root, ignored)
+    if known is not None:
+        meta = meta.withColumn("path_key", path_key(F.col("rel_path"))).join(known.select("path_key", "size", "modified").distinct(), ["path_key", "size", "modified"], "left_anti").drop("path_key")
+    meta = materialise(meta)
     wanted = meta.where("reason IS NULL").select("path", "rel_path", "size", "modified", "kind")
     blocks, block = [], []
     for r in wanted.select("path").toLocalIterator():

@@ -1,5 +1,6 @@
 """Discovery of projects, git state, deadlines, neighbours and cursor expiry."""
 
+import os
 import time
 
 import pytest
@@ -130,3 +131,26 @@ def test_compaction(spark, tmp_path):
     assert len(list((tmp_path / "tables" / "postings").iterdir())) == 1
     kb.ingest_texts("t9", text(9), "9")
     assert len(kb.search("marble")["results"]) == 4
+
+
+def test_quick_refresh_and_hidden_files(spark, root, tmp_path_factory):
+    kb = KnowledgeBase(spark, str(tmp_path_factory.mktemp("store3")))
+    kb.init()
+    src = root / "beta"
+    kb.register_root("p1", "beta", str(src))
+    (src / "a.md").write_text("gneiss alpha")
+    (src / "b.md").write_text("gneiss beta")
+    kb.refresh("p2", "beta")
+    stamp = (src / "b.md").stat()
+    (src / "a.md").write_text("gneiss changed")
+    (src / "b.md").write_text("gneiss BETA")
+    os.utime(src / "b.md", ns=(stamp.st_atime_ns, stamp.st_mtime_ns))  # same size and time: not looked at
+    assert kb.refresh("p3", "beta", mode="metadata")["actions"] == {"new_version": 1}
+    assert {x["snippet"] for x in kb.search("gneiss")["results"]} == {"gneiss changed", "gneiss beta"}
+    assert kb.refresh("p4", "beta")["actions"] == {"new_version": 1} and kb.refresh("p5", "beta", mode="metadata")["actions"] == {}
+    (src / "a.md").write_text("gneiss password = 'kR7mPq2vXz9w'")
+    (src / "b.md").unlink()
+    assert kb.refresh("p6", "beta", mode="metadata")["actions"] == {"policy_hidden": 1, "tombstone": 1}
+    assert kb.search("gneiss")["status"] == "no_match"
+    with pytest.raises(ValueError):
+        kb.discover("beta", mode="quick")
