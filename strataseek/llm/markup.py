@@ -108,6 +108,7 @@ _SCANNERS = {c: _compiled([n for n in _CONSTRUCTS if n.partition("__")[2] in kin
 _SETEXT = _compiled(["markdown__setext"])
 _START = re.compile(r"^[ \t]*(?=[`~>|!{#=*+•:;_<\[\\-]|\d{1,4}[.)])|(?=[`<\\$&\[{}*_~']|!\[|-->)", re.M)
 _BAR = re.compile(r"^(?:={3,}|-{3,})[ \t]*$", re.M)
+_LINE = re.compile(r"[^\n]*")
 
 
 def _constructs(text: str) -> Iterator[tuple[str, re.Match[str]]]:
@@ -167,33 +168,51 @@ def tokens(text: str) -> Iterator[tuple[str, re.Match[str] | str]]:
 # Elements without content.
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _ENVIRONMENTS = set("itemize enumerate description document abstract figure table tabular center quote quotation theorem proof lemma definition".split())
-#: Lines that look like markup and may be plain text as well.
-_AMBIGUOUS = {"markdown__underline", "markdown__rule", "markdown__quote", "wiki__nested"}
 _PARTNERS = {"markdown__strong", "wiki__quote"}
+#: Symbols whose tokens, where not whole, are lone symbols, as plain text has them too: half of a pair of marks, an end of a
+#: template or comment without its beginning, a mark at the start of a line that is no block.
+LONE = _PARTNERS | {"wiki__template", "html__comment", "markdown__quote", "markdown__rule", "markdown__underline", "wiki__nested"}
+
+
+def _is_block(s: str, m: re.Match[str], text: str) -> bool:
+    """Whether a mark at the start of a line stands where its block does: a quote begins a paragraph or has several lines, a rule is a paragraph, a nested item follows an item of its list."""
+    start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end()) + 1
+    above = text[text.rfind("\n", 0, start - 1) + 1 : start - 1].strip() if start else ""
+    below = (_LINE.match(text, end)[0] if end else "").strip()
+    if s == "wiki__nested":
+        return above[:1] == m.group(0)[0]
+    return not above or above[0] == ">" or below[:1] == ">" if s == "markdown__quote" else not above and not below
 
 
 def _wholes(found: list[tuple[str, re.Match[str] | str]], text: str) -> list[bool]:
     """For each token whether its construct is whole: closed where it opens, or unmistakable by itself."""
     whole = [True] * len(found)
     names = {s for s, _ in found}
+    several = "\n" in text.strip()  # one line by itself does not show that it is a block
     has_table = any(s == "wiki__table" and m.group(0).lstrip().startswith("{|") for s, m in found)
     opened: dict[str, list[int]] = {}
+    marks: dict[str, int] = {}  # open ones of a paragraph
+    missing: dict[int, int] = {}  # partners that a mark still lacks
     for i, (s, m) in enumerate(found):
         if s in ("T", ""):
             if "\n\n" in m:
-                for x in _PARTNERS:
-                    opened.pop(x, None)
+                marks.clear()
             continue
         g, kind = m.group(0), s.partition("__")[2]
         if s in _PARTNERS:  # marks come in pairs within a paragraph
-            stack = opened.setdefault(s, [])
-            if stack and found[stack[-1]][1].group(0) == g:
-                whole[stack.pop()] = True
-            else:
-                whole[i] = False
-                stack.append(i)
-        elif s in _AMBIGUOUS:
+            for mark in ("''", "'''") if len(g) == 5 else ("'''",) if g[0] == "'" and len(g) > 2 else (g[:2],):
+                other = marks.pop(mark, None)
+                if other is None:
+                    marks[mark] = i
+                    missing[i] = missing.get(i, 0) + 1
+                else:
+                    missing[other] -= 1
+                    whole[other] = not missing[other]
+            whole[i] = not missing.get(i)
+        elif s == "markdown__underline":  # the title above is missing
             whole[i] = False
+        elif s in ("markdown__quote", "markdown__rule", "wiki__nested"):
+            whole[i] = (several or s == "wiki__nested") and _is_block(s, m, text)
         elif s in ("markdown__fence", "latex__verbatim", "html__pre", "wiki__source"):
             whole[i] = m.end() > m.end({"markdown__fence": "fbody", "latex__verbatim": "vbody", "html__pre": "pbody", "wiki__source": "wbody"}[s])
         elif s == "latex__display":
@@ -201,9 +220,12 @@ def _wholes(found: list[tuple[str, re.Match[str] | str]], text: str) -> list[boo
         elif s == "html__script":
             whole[i] = g.endswith(">") and "</" in g
         elif s == "html__comment":
-            whole[i] = g.endswith(">") and g.startswith("<")
+            whole[i] = g.startswith("<")
         elif s == "wiki__template":
-            whole[i] = g.startswith("{{") and g.endswith("}}")
+            if g == "{{":
+                opened.setdefault(s, []).append(i)
+            elif g == "}}":
+                whole[i] = bool(opened.get(s)) and opened[s].pop() >= 0
         elif s in ("markdown__image", "markdown__link"):
             whole[i] = g.endswith((")", "]"))
         elif s == "latex__heading":
@@ -242,7 +264,7 @@ def stream(text: str) -> list[list[tuple[int, str, int]]]:
 
     ``T`` stands for a stretch of text, with number -1 and weight 0. A whole
     construct weighs 2; a broken one (half of a pair, or without its end) and
-    one that may be plain text weigh 1. Line ends must be LF.
+    a lone symbol (LONE) weigh 1. Line ends must be LF.
     """
     found = list(tokens(text))
     whole = _wholes(found, text)
@@ -280,12 +302,34 @@ def signature(text: str) -> str:
 # A wrapper is a union-free expression, nested twice: a text is a repeated group of optional lines, told apart by their
 # first symbol; the expression of a line is a list of items [symbols, least, most, weights], with least 0 or 1 and most 1
 # or 0 for any number. Weights say how much the streams aligned at an item vouch for each of its symbols: 2 for a whole
-# construct, 1 for a broken one. A line that grows beyond MAX_ITEMS becomes one repeated group of optional symbols,
+# construct, 1 for a broken one. A lone symbol has items of its own, its name with "?", and weighs 1 in a text that has
+# constructs of its language, else -1. A line that grows beyond MAX_ITEMS becomes one repeated group of optional symbols,
 # [["*", symbols...], 0, 0, weights].
 MAX_ITEMS = 48
 _LONGEST_GROUP = 4
 #: Weight from which a symbol is a template token: whole once, or broken in two places. Below it is part of a text slot.
 TEMPLATE_MIN = 2
+#: The same for a lone symbol: most of those there stand in texts with other constructs of the language. No mere number of
+#: lone symbols will do, else a large table would vouch for all of them.
+LONE_MIN = 1
+
+
+def is_template(symbol: str, own: int, weight: int) -> bool:
+    """Whether a token of weight ``own`` is a template token at an item of that weight; whole constructs are."""
+    return own == 2 or weight >= (LONE_MIN if symbol.endswith("?") else TEMPLATE_MIN)
+
+
+def for_wrapper(blocks: list[list[tuple[int, str, int]]]) -> list[tuple[list[str], list[int]]]:
+    """Symbols and weights of the lines of a stream as they go into the wrapper."""
+    lone = [[w == 1 and s in LONE for _, s, w in block] for block in blocks]
+    spoken = {s.partition("__")[0] for block, x in zip(blocks, lone, strict=True) for (_, s, _), is_lone in zip(block, x, strict=True) if not is_lone}
+    return [
+        (
+            [s + "?" if is_lone else s for (_, s, _), is_lone in zip(block, x, strict=True)],
+            [(1 if s.partition("__")[0] in spoken else -1) if is_lone else w for (_, s, w), is_lone in zip(block, x, strict=True)],
+        )
+        for block, x in zip(blocks, lone, strict=True)
+    ]
 
 
 def fold(symbols: list[str], weights: list[int]) -> list[list]:
@@ -354,6 +398,21 @@ def align(a: list[list], b: list[list]) -> list[list]:
     return close(out) if len(out) > MAX_ITEMS else out
 
 
+def vouch(items: list[list], line: list[list], n: int) -> None:
+    """Adds the weights of ``n`` streams with a folded line to the items of the expression at which ``settle`` finds its symbols."""
+    if is_closed(items):
+        at = {s: x for x, s in enumerate(items[0][0][1:])}
+        for group, _, _, weights in line:
+            for s, w in zip(group[1:] if group[0] == "*" else group, weights, strict=True):
+                items[0][3][at[s]] += w * n
+        return
+    pairs = _common(line, items)
+    if len(pairs) < len(line):
+        raise ValueError("the wrapper was not made from this line")
+    for x, y in pairs:
+        items[y][3] = [p + q * n for p, q in zip(items[y][3], line[x][3], strict=True)]
+
+
 def settle(items: list[list], symbols: list[str]) -> list[int] | None:
     """The weight of each symbol of a line at the item where the expression matches it; None if it does not match."""
     if is_closed(items):
@@ -406,26 +465,45 @@ def _aligned(rows: DataFrame) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "order").select(*keys, "items").mapInPandas(_merge, _WRAPPERS)
 
 
+def _vouched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The wrapper of each (host, lead, part) with the weights of its lines; rows stand together, the wrapper (n = 0) first."""
+    key, items = None, []
+    for pdf in batches:
+        out: list[tuple] = []
+        for *k, n, text in zip(pdf["host"], pdf["lead"], pdf["part"], pdf["n"], pdf["items"], strict=True):
+            mine = json.loads(text)
+            if n:
+                vouch(items, mine, n)
+                continue
+            if key:
+                out.append((*key, json.dumps(items)))
+            key, items = k, [[g, least, most, [0] * len(w)] for g, least, most, w in mine]
+        yield pd.DataFrame(out, columns=["host", "lead", "part", "items"])
+    yield pd.DataFrame([(*key, json.dumps(items))] if key else [], columns=["host", "lead", "part", "items"])
+
+
 def wrappers(lines: DataFrame) -> DataFrame:
     """The wrapper of each host and of all hosts (ALL_HOSTS): host, lead, items (JSON).
 
     ``lines``: host, lead, items (the folded line), n (streams of the host
-    with that line). The lines of a host are divided by their hash into PARTS
-    streams, each aligned in sorted order in bounded memory; the PARTS
-    wrappers of a host are then aligned in order, and those of all hosts in
-    the same two steps.
+    with that line); read several times. The lines of a host are divided by
+    their hash into PARTS streams, each aligned in sorted order in bounded
+    memory; the PARTS wrappers of a host are then aligned in order, and those
+    of all hosts in the same two steps. The weights are those of all lines at
+    the items they match in the finished wrapper, where an alignment may have
+    had several equal choices on the way.
     """
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["items"] = [json.dumps([[g, least, most, [x * n for x in w]] for g, least, most, w in json.loads(t)]) for t, n in zip(pdf["items"], pdf["n"], strict=True)]
-            yield pdf[["host", "lead", "part", "order", "items"]]
-
-    part = F.pmod(F.xxhash64("items"), F.lit(PARTS)).cast("int")
-    weighed = lines.select("host", "lead", part.alias("part"), F.col("items").alias("order"), "items", "n").mapInPandas(weigh, "host string, lead string, part int, order string, items string")
+    part = F.pmod(F.xxhash64("items"), F.lit(PARTS)).cast("int").alias("part")
     one = lambda df, order: _aligned(df.select("host", "lead", F.lit(0).alias("part"), order.alias("order"), "items"))
-    hosts = materialise(one(_aligned(weighed), F.col("part")).drop("part"))
+    hosts = materialise(one(_aligned(lines.select("host", "lead", part, F.col("items").alias("order"), "items")), F.col("part")).drop("part"))
     spread = hosts.select(F.lit(ALL_HOSTS).alias("host"), "lead", F.pmod(F.xxhash64("host"), F.lit(PARTS)).cast("int").alias("part"), F.col("host").alias("order"), "items")
-    return hosts.unionByName(one(_aligned(spread), F.col("part")).drop("part"))
+    made = hosts.unionByName(one(_aligned(spread), F.col("part")).drop("part"))
+    every = lines.groupBy("lead", "items").agg(F.sum("n").alias("n")).select(F.lit(ALL_HOSTS).alias("host"), "lead", part, "n", "items")
+    every = lines.select("host", "lead", part, "n", "items").unionByName(every)
+    copies = every.select("host", "lead", "part").distinct().join(made, ["host", "lead"]).select("host", "lead", "part", F.lit(0).cast("long").alias("n"), "items")
+    keys = ["host", "lead", "part"]
+    weighed = every.unionByName(copies).repartition(*keys).sortWithinPartitions(*keys, "n", "items").mapInPandas(_vouched, _WRAPPERS)
+    return one(weighed, F.col("part")).drop("part")
 
 
 #: Wrappers are broadcast up to this number of hosts (a wrapper has some ten kB); beyond it only those of hot hosts are.
@@ -440,7 +518,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(host, block[0][1], json.dumps(fold([s for _, s, _ in block], [w for _, _, w in block]))) for host, sig in zip(pdf["host"], pdf["sig"], strict=True) for block in json.loads(sig)]
+        rows = [(host, symbols[0], json.dumps(fold(symbols, weights))) for host, sig in zip(pdf["host"], pdf["sig"], strict=True) for symbols, weights in for_wrapper(json.loads(sig))]
         yield pd.DataFrame(rows, columns=["host", "lead", "items"])
 
 
@@ -455,12 +533,13 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 known[wrapper] = {lead: json.loads(items) for lead, items in json.loads(wrapper).items()}
             kinds: set[str] = set()
             slots: list[int] = []
-            for block in json.loads(sig):
-                weights = settle(known[wrapper][block[0][1]], [s for _, s, _ in block])
+            blocks = json.loads(sig)
+            for block, (symbols, _) in zip(blocks, for_wrapper(blocks), strict=True):
+                weights = settle(known[wrapper][symbols[0]], symbols)
                 if weights is None:
                     raise ValueError("the wrapper was not made from this stream")
-                for (i, s, _), w in zip(block, weights, strict=True):
-                    if i >= 0 and w >= TEMPLATE_MIN:
+                for (i, _, own), s, w in zip(block, symbols, weights, strict=True):
+                    if i >= 0 and is_template(s, own, w):
                         kinds.add(s.partition("__")[0])
                     elif i >= 0:
                         slots.append(i)
@@ -477,15 +556,17 @@ def template_tokens(prose: DataFrame) -> DataFrame:
     """chunk_id, kinds (languages of the template tokens), slots (numbers of the tokens that are text) of prose texts.
 
     ``prose``: chunk_id, host, content. Each text is a stream of tokens; the
-    streams of a host are aligned, line by line, into its wrapper. A token is
-    a template token where the wrapper item it matches is vouched for
-    (TEMPLATE_MIN): by a whole construct in some stream of the host, or by
-    broken ones in two places. Otherwise it belongs to a text slot. Texts
-    without tokens give no rows.
+    streams of a host are aligned, line by line, into its wrapper. Tokens of
+    whole constructs are template tokens. A broken one is where the wrapper
+    item it matches is vouched for by a whole construct in some stream of the
+    host, or by broken ones in two places (TEMPLATE_MIN). A lone symbol is
+    where most lone symbols at its item stand in texts with other constructs
+    of its language, however many there are (LONE_MIN). Otherwise it belongs
+    to a text slot. Texts without tokens give no rows.
     """
     key = dict(prose.dtypes)["chunk_id"]
     signed = materialise(prose.mapInPandas(_sign, f"chunk_id {key}, host string, sig string").where("sig <> ''"))
-    lines = signed.select("host", "sig").mapInPandas(_lines, "host string, lead string, items string").groupBy("host", "lead", "items").agg(F.count("*").alias("n"))
+    lines = materialise(signed.select("host", "sig").mapInPandas(_lines, "host string, lead string, items string").groupBy("host", "lead", "items").agg(F.count("*").alias("n")))
     made = wrappers(lines).groupBy("host").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lead", "items"))))).alias("wrapper"))
     made = materialise(made)
     sizes = materialise(signed.groupBy("host").agg(F.count("*").alias("__n")))

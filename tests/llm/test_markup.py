@@ -118,3 +118,38 @@ def test_spark(spark):
     assert sorted(map(tuple, M.markup_kinds(df).collect())) == [(1, "html"), (1, "markdown"), (2, "latex"), (8, "markdown")]
     assert {r.chunk_id: (r.content, r.kinds) for r in M.clean_chunks(df).collect()} == {1: ("# A\n\nx", ["html", "markdown"]), 2: ("# a", ["latex"]), 8: ("# a", ["markdown"])}
     assert M.markup_kinds(df.where("id = 9")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, lone",
+    [
+        ("'''a ''b'''''", []), ("'''''a'' b'''", []), ("''a'''''b'''", []), ("'''a ''b'''", ["wiki__quote"]), ("**a *b***", []), ("**a __b c**", ["markdown__strong"]), ("a **b\n\nc** d", ["markdown__strong", "markdown__strong"]),
+        ("{{A\n| b = {{c|{{d|{{e}}}}}}\n}}", []), ("<!-- open", []), ("a --> b", ["html__comment"]), ("> a\n\nb", []), ("a\n> b\n> c\nd", []), ("a\n> 9 b\nc", ["markdown__quote"]), ("* a\n** b", []), ("a\n** b", ["wiki__nested"]),
+        ("a\n\n* * *\n\nb", []), ("a\n___\nb", ["markdown__rule"]), ("a\n\n=====\nb", ["markdown__underline"]),
+    ],
+)
+def test_lone_symbols(text, lone):
+    assert [s for line in M.stream(text) for _, s, w in line if w == 1] == lone and set(lone) <= M.LONE
+
+
+def test_no_number_of_lone_symbols_makes_markup(spark):
+    plain = ["a --> b", "set to '' here", "so }} it ends", "holds if a\n> 9 and b\nis", "price** of it", "it ends\n\n=====\nso", "it ends\n** so"]
+    rows = [(i, f"h{i % 3}", f"{i}.md", plain[i % 7]) for i in range(140)]
+    assert found(spark, rows) == (set(), {})
+    # 20 in plain texts against those at the same item of the wrapper in texts that are wiki otherwise
+    wiki = [(200 + i, "p", "x.md", "the ''word'' of it\nit was set to '' then") for i in range(21)]
+    kinds, clean = found(spark, [*rows, *wiki[:20]])
+    assert kinds == {(200 + i, "wiki") for i in range(20)} and clean[200] == "the word of it\nit was set to '' then"
+    kinds, clean = found(spark, [*rows, *wiki])
+    assert kinds == {(200 + i, "wiki") for i in range(21)} | {(i, "wiki") for i in range(1, 140, 7)} and clean[1] == "set to  here"
+
+
+def test_equal_lines_vouch_at_one_item(spark):
+    r = random.Random(5)
+    lines = {tuple(r.choice("abT") for _ in range(r.randint(1, 9))): 1 + i % 3 for i in range(300)}
+    df = spark.createDataFrame([(f"h{i % 5}", s[0], json.dumps(M.fold(list(s), [1] * len(s))), n) for i, (s, n) in enumerate(lines.items())], "host string, lead string, items string, n long")
+    made = {(x.host, x.lead): json.loads(x["items"]) for x in M.wrappers(df).collect()}
+    for i, (s, n) in enumerate(lines.items()):
+        assert all(w >= n for host in (f"h{i % 5}", M.ALL_HOSTS) for w in M.settle(made[host, s[0]], list(s))), s
+    weight = lambda host: sum(sum(x[3]) for (h, _), items in made.items() if h == host for x in items)
+    assert weight(M.ALL_HOSTS) == sum(weight(f"h{i}") for i in range(5)) == sum(len(s) * n for s, n in lines.items())
